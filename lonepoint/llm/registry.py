@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lonepoint.llm import exact_dedup
+import public_tokenizers
+
+from lonepoint.llm import bpe, exact_dedup, mixing
 from lonepoint.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -13,6 +15,17 @@ def query(f):
     return f
 
 
+@query
+def op3_byte_bpe(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return bpe.transcode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query
+def op6_source_mix(spark, sf_dir):
+    return mixing.amounts(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
