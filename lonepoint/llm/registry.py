@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lonepoint.llm import bpe, exact_dedup, mixing
+from lonepoint.llm import bpe, exact_dedup, html_extract, mixing
 from lonepoint.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -21,6 +21,11 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.transcode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query
+def op5_html_extract(spark, sf_dir):
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
 @query
 def op6_source_mix(spark, sf_dir):
     return mixing.amounts(read(spark, sf_dir, "documents"))
