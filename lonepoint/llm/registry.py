@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lonepoint.llm import bpe, exact_dedup, html_extract, mixing
+from lonepoint.llm import bpe, exact_dedup, html_extract, mixing, toxicity
 from lonepoint.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -45,3 +45,8 @@ WITH d AS (
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.k) AS text_sha256
 FROM d JOIN g USING (k)
 """
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
