@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lonepoint.llm import bpe, exact_dedup, html_extract, mixing, quality, toxicity
+from lonepoint.llm import bpe, exact_dedup, html_extract, mixing, ngram_join, quality, toxicity
 from lonepoint.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -55,3 +55,29 @@ FROM d JOIN g USING (k)
 @query
 def op8_toxicity(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op9_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, in full.
+ORACLES["op9_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS g FROM d WHERE len(w) > 0
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+    SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)
+), r AS (
+    SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a
+), c AS (
+    SELECT a AS doc_id, min(c) AS class_id FROM r GROUP BY a
+)
+SELECT doc_id, class_id, (SELECT count(*) FROM l WHERE l.a = c.doc_id) AS n_links, doc_id = class_id AS kept FROM c
+"""
