@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lonepoint.llm import bpe, exact_dedup, html_extract, mixing, ngram_join, quality, toxicity
+from lonepoint.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality, toxicity
 from lonepoint.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -15,6 +15,11 @@ def query(f):
     return f
 
 
+@query
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.deduplicated(read(spark, sf_dir, "documents"))
+
+
 @query
 def op2_line_crf(spark, sf_dir):
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
