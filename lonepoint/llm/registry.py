@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lonepoint.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality, toxicity
+from lonepoint.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality, toxicity, vector_dedup
 from lonepoint.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -86,3 +86,27 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, class_id, (SELECT count(*) FROM l WHERE l.a = c.doc_id) AS n_links, doc_id = class_id AS kept FROM c
 """
+
+
+@query
+def op10_vector_dedup(spark, sf_dir):
+    return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op10_vector_dedup"] = r"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+      AND NOT list_contains(list_transform(embedding, lambda z: isfinite(z)), false) AND list_contains(list_transform(embedding, lambda z: z <> 0), true)
+), n AS (
+    SELECT *, sqrt(list_sum(list_transform(x, lambda z: z * z))) AS s FROM v
+), l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+    WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) / (a.s * b.s) >= 0.93
+), r AS (
+    SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a
+), c AS (
+    SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
