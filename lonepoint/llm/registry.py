@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lonepoint.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality, toxicity, vector_dedup
+from lonepoint.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, packing, quality, toxicity, vector_dedup
 from lonepoint.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -31,6 +31,12 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.transcode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query
+def op4_token_packing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=50256)
+
+
 @query
 def op5_html_extract(spark, sf_dir):
     return html_extract.extract_pages(read(spark, sf_dir, "pages"))
