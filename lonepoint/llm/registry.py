@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+import corpus_pipeline
 from lonepoint.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, packing, quality, toxicity, vector_dedup
 from lonepoint.llm.common import read
 
@@ -116,3 +117,8 @@ WITH RECURSIVE v AS (
 )
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
 """
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
