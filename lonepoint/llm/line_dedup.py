@@ -49,6 +49,10 @@ def normal_lines(text: bytes) -> list[bytes]:
     return [b" ".join(x.split()) for x in low.translate(_FOLD, _DELETE).split(b"\n")]
 
 
+#: Each bit of a byte as a byte of its own, so that eight counters are added at once.
+_SPREAD = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], np.uint64)
+
+
 def simhash(lines: list[bytes]) -> np.ndarray:
     """64 bits for each line: the majority of its words' hash bits; 0 for a line without words."""
     w = Words(lines)
@@ -56,9 +60,15 @@ def simhash(lines: list[bytes]) -> np.ndarray:
     counts = np.diff(w.first)
     some = counts > 0
     if some.any():
-        bits = np.unpackbits(w.hash.view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, w.first[:-1][some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * sums > counts[some][:, None], axis=1).view(np.uint64).ravel()
+        # A counter of one byte holds 255 words; longer lines are added up by stretches.
+        starts, counts = w.first[:-1][some], counts[some]
+        pieces = -(-counts // 255)
+        head = np.repeat(np.cumsum(pieces) - pieces, pieces)
+        cuts = np.repeat(starts, pieces) + 255 * (np.arange(len(head)) - head)
+        sums = np.add.reduceat(_SPREAD[w.hash.view(np.uint8)].reshape(-1, 8), cuts, axis=0).view(np.uint8).reshape(-1, 64)
+        if len(cuts) > len(starts):
+            sums = np.add.reduceat(sums, np.cumsum(pieces) - pieces, axis=0, dtype=np.int32)
+        out[some] = np.packbits(2 * sums.astype(np.int32) > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -73,18 +83,23 @@ def masks(lines: int, distance: int = DISTANCE) -> list[int]:
     raise AssertionError
 
 
+def _middles(a: str, b: str) -> tuple[str, str]:
+    """Both without the beginning and the end that they share."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
+    a, b = a[low:], b[low:]
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[len(a) - mid :] == b[len(b) - mid :] else (low, mid - 1)
+    return a[: len(a) - low], b[: len(b) - low]
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance by Myers' bit vectors, in Python's integers of any length."""
-    if a == b:
-        return 0
-    low = 0
-    high = min(len(a), len(b))
-    while low < high and a[low] == b[low]:
-        low += 1
-    end = 0
-    while end < high - low and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[low : len(a) - end], b[low : len(b) - end]
+    a, b = _middles(a, b)
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -109,8 +124,17 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    longer = max(len(a), len(b))
-    return abs(len(a) - len(b)) <= (1 - least) * longer + 1e-9 and edit_distance(a, b) <= (1 - least) * longer + 1e-9
+    """Whether the edit similarity is at least so much. Bounds that settle most pairs come before the distance itself."""
+    allowed = (1 - least) * max(len(a), len(b)) + 1e-9
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    a, b = _middles(a, b)
+    if max(len(a), len(b)) <= allowed:
+        return True
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= allowed:
+        return True
+    return edit_distance(a, b) <= allowed
 
 
 _LINES = "id long, th long, pos int, h1 long, h2 long, sim long, len int"
@@ -192,8 +216,8 @@ def _candidates(distance: int):
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The candidate lines of each document with their buckets, a row for each pair of blocks."""
-    names = ["key", "bi", "bj", "h1", "h2", "block", "sim", "line"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+    names = ["key", "bi", "bj", "h1", "h2", "block", "sim", "keys", "line"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string()]
     rows: list[tuple] = []
     held = 0
 
@@ -206,10 +230,11 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = normal_lines(raw or b"")
             for x in wanted:
                 line = lines[x["pos"]].decode("utf-8", "surrogatepass")
+                keys = [b["key"] for b in x["buckets"]]
                 for b in x["buckets"]:
                     k, mine = b["blocks"], block_of(x["h1"], x["h2"], b["blocks"])
                     for other in range(k):
-                        rows.append((b["key"], min(mine, other), max(mine, other), x["h1"], x["h2"], mine, x["sim"], line))
+                        rows.append((b["key"], min(mine, other), max(mine, other), x["h1"], x["h2"], mine, x["sim"], keys, line))
                         held += len(line) + 100
             if held > 4 << 20:
                 yield dealt()
@@ -219,9 +244,10 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(distance: int, least: float):
     def verified(group: list[tuple]) -> Iterator[tuple]:
-        bi, bj = group[0][1:3]
+        key, bi, bj = group[0][:3]
         unique = list({r[3:5]: r for r in group}.values())
         n = len(unique)
+        keys = [frozenset(r[7]) for r in unique]
         sims = np.array([r[6] for r in unique], np.int64).view(np.uint64)
         block = np.array([r[5] for r in unique])
         fresh = np.ones(n, bool)
@@ -236,7 +262,8 @@ def _links(distance: int, least: float):
                 if bi != bj:
                     near &= block != block[at]
                 for j in np.flatnonzero(near).tolist():
-                    if similar(unique[at][7], unique[j][7], least):
+                    # A pair belongs to one of the buckets that both have.
+                    if (len(keys[at]) == 1 or min(keys[at] & keys[j]) == key) and similar(unique[at][8], unique[j][8], least):
                         fresh[j] = False
                         todo.append(j)
                         yield (*unique[at][3:5], *unique[j][3:5])
@@ -293,7 +320,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = distinct_buckets(weighed, "len", BLOCK_ROWS, BLOCK_BYTES)
     listed = weighed.join(kept, "key").groupBy("h1", "h2", "first", "sim").agg(F.collect_list(F.struct("key", "blocks")).alias("buckets"))
     wanted = listed.groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "sim", "buckets")).alias("wanted"))
-    texts = narrow.join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(_texts, "key long, bi int, bj int, h1 long, h2 long, block int, sim long, line string")
+    texts = narrow.join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(_texts, "key long, bi int, bj int, h1 long, h2 long, block int, sim long, keys array<long>, line string")
     texts = texts.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     links = texts.mapInArrow(_links(distance, least), "a1 long, a2 long, b1 long, b2 long")
     edges = common.stored(links.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b")), "edges")

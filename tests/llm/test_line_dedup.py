@@ -25,6 +25,23 @@ def test_edit_distance():
         assert L.edit_distance(a, b) == plain_distance(a, b)
 
 
+def test_similar_agrees_with_the_distance():
+    rng = random.Random(5)
+    for _ in range(600):
+        a = " ".join(rng.choice(["ab", "é", "long", "x"]) for _ in range(rng.randrange(1, 14)))
+        b = " ".join(w if rng.random() < 0.8 else rng.choice(["yz", "ab", ""]) for w in a.split(" "))
+        assert L.similar(a, b) == (plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
+
+
+def test_simhash_is_the_majority_of_bits():
+    rng = random.Random(6)
+    lines = [b" ".join(b"w%d" % rng.randrange(50) for _ in range(n)) for n in (1, 2, 3, 0, 254, 255, 256, 1000, 7)]
+    got = L.simhash(lines).tolist()
+    for line, sim in zip(lines, got, strict=True):
+        hashes = L.Words([line]).hash.tolist()
+        assert sim == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 @pytest.mark.parametrize("lines", [1000, 10**9, 10**12, 10**15])
 def test_masks_find_every_pair_within_the_distance(lines):
     chosen = L.masks(lines)
