@@ -157,15 +157,18 @@ class Restorer:
         self.model, self.seen = CharacterModel(counts), {}
 
     def read(self, token: str) -> str:
+        return "".join([self._part(token[i : i + PART]) for i in range(0, len(token), PART)])
+
+    def _part(self, token: str) -> str:
         got = self.seen.get(token)
         if got is None:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            got = self.seen[token] = "".join(decode(token[i : i + PART], self.model) for i in range(0, len(token), PART))
+            got = self.seen[token] = decode(token, self.model)
         return got
 
-    def restored(self, text: str, words: set[str]) -> set[str]:
-        """What the disguised words of a lower-case text read; words: the plain ones."""
+    def restored(self, text: str, words: set[str], known: frozenset[str]) -> set[str]:
+        """What the disguised words of a lower-case text read; words: the plain ones. Of letters set apart only known words count."""
         out = set()
         if _UNSEEN.search(text):
             out.update(_WORD.findall(_UNSEEN.sub("", text)))
@@ -183,9 +186,8 @@ class Restorer:
                 out.add(self.read(token))
         for token in {m.group() for m in _APART.finditer(text)}:
             whole = self.read(token)
-            out.add(whole)
-            # Several words set apart, one after the other, read as one: each stretch of it counts.
-            out.update(whole[i:j] for i in range(len(whole)) for j in range(i + 4, min(len(whole), i + 16) + 1))
+            # Several words set apart, one after the other, read as one: each stretch of it may be a word.
+            out.update(known.intersection(whole[i:j] for i in range(len(whole)) for j in range(i + 3, min(len(whole), i + 20) + 1)))
         return out
 
 
@@ -216,7 +218,7 @@ class Scorer:
         low = (text or "").lower()
         words = set(_WORD.findall(low))
         hits = self.hits(words)
-        extra = self.hits(self.restorer.restored(low, words)) - hits if self.known else ()
+        extra = self.hits(self.restorer.restored(low, words, self.known)) - hits if self.known else ()
         odds = sorted((self.lexicon[w] for w in (*hits, *extra)), reverse=True)
         size = math.log1p(len(words))
         return [sum(odds[:30]), odds[0] if odds else 0.0, math.log1p(len(odds)), len(odds) / (1 + size), size, sum(odds) / math.sqrt(1 + len(words))]

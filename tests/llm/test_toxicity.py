@@ -58,7 +58,7 @@ def corpus(n=1600):
 
 def test_held_out_accuracy_and_edges(frame, spark):
     rows, labels = corpus()
-    odd = [(5000, None), (5001, ""), (None, "river"), (5002, "stone " * 200_000), (5003, "a1" * 50_000), (5004, "you w r e t c h and r0tter, sc*mbag"), (3, rows[3][1])]
+    odd = [(5000, None), (5001, ""), (None, "river"), (5002, "stone " * 200_000), (5003, "a1" * 50_000), (5005, "a b " * 60_000), (5004, "you w r e t c h and r0tter, sc*mbag"), (3, rows[3][1])]
     table = spark.createDataFrame([*labels, (6000, 1, 1), (None, 0, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     got = T.score(frame(rows + odd), table).collect()
     assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 for r in got)
