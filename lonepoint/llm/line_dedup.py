@@ -1,7 +1,7 @@
 """Line dedup: fuzzy lines over all documents (operator 1).
 
 Lines are compared in normal form: lower case, ASCII punctuation left out, digits as 0, white space as single spaces. Equal
-forms are one line. Others are near when their 64-bit SimHash over words differs in at most DISTANCE bits and their edit
+forms are one line. Others are near when their 64-bit SimHash over distinct words differs in at most DISTANCE bits and their edit
 similarity (1 - Levenshtein distance / longer length, in code points) is SIMILARITY or more. Of each group of lines
 connected by equal or near, one occurrence stays: that in the document with the smallest id, and there the first.
 All other occurrences go from the texts.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lonepoint.llm import common
 from lonepoint.llm.graph import block_of, components, distinct_buckets, groups
-from lonepoint.llm.textvec import Words, blocks
+from lonepoint.llm.textvec import Words, blocks, mix
 
 DISTANCE, SIMILARITY = 3, 0.8
 #: Lines in a bucket on average, up to which more bits don't pay; members and bytes of a block.
@@ -54,18 +54,26 @@ _SPREAD = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(
 
 
 def simhash(lines: list[bytes]) -> np.ndarray:
-    """64 bits for each line: the majority of its words' hash bits; 0 for a line without words."""
+    """64 bits for each line: the majority of the hash bits of its distinct words; 0 for a line without words.
+
+    Each word counts once: else a line's frequent words, which long lines of a language share, would settle all bits.
+    """
     w = Words(lines)
+    # Line and 40 bits of the word in one number, so that one sort finds the distinct words of all lines.
+    key = np.sort(w.doc.astype(np.uint64) << np.uint64(40) | w.hash >> np.uint64(24))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    line = (key >> np.uint64(40)).astype(np.int64)
+    hashes = mix((key & np.uint64((1 << 40) - 1)) + np.uint64(0x9E3779B97F4A7C15))
     out = np.zeros(len(lines), np.uint64)
-    counts = np.diff(w.first)
+    counts = np.bincount(line, minlength=len(lines))
     some = counts > 0
     if some.any():
         # A counter of one byte holds 255 words; longer lines are added up by stretches.
-        starts, counts = w.first[:-1][some], counts[some]
+        starts, counts = np.searchsorted(line, np.flatnonzero(some)), counts[some]
         pieces = -(-counts // 255)
         head = np.repeat(np.cumsum(pieces) - pieces, pieces)
         cuts = np.repeat(starts, pieces) + 255 * (np.arange(len(head)) - head)
-        sums = np.add.reduceat(_SPREAD[w.hash.view(np.uint8)].reshape(-1, 8), cuts, axis=0).view(np.uint8).reshape(-1, 64)
+        sums = np.add.reduceat(_SPREAD[hashes.view(np.uint8)].reshape(-1, 8), cuts, axis=0).view(np.uint8).reshape(-1, 64)
         if len(cuts) > len(starts):
             sums = np.add.reduceat(sums, np.cumsum(pieces) - pieces, axis=0, dtype=np.int32)
         out[some] = np.packbits(2 * sums.astype(np.int32) > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
