@@ -1,43 +1,92 @@
 """Neighbour counts over count-based sliding windows, and what follows from them.
 
 Points of one slide with equal values have equal counts, so counting joins distinct (slide, values) with their numbers:
-copies of a hot value never meet each other one by one. Everything after the join is one aggregation by (slide, values)
-and array arithmetic over at most 2n - 1 slides.
+copies of a hot value never meet each other one by one. A group has at most a slide of points and carries their ids, so
+that results come back to points without another join on values. After the pairs there is one aggregation by group; window sums
+are arithmetic over its 2n - 1 numbers, unrolled into generated code while these are few.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lonepoint.operators.neighbors import earlier_pairs, pairs, with_slide
 from lonepoint.params import Params
 
+#: Slides of a window up to which sums are unrolled.
+UNROLLED_SLIDES = 24
+
 
 def grouped(points: DataFrame, slide: int) -> DataFrame:
-    """slide_no, values and w, the number of points."""
-    return with_slide(points, slide).groupBy("slide_no", "values").agg(F.count("*").alias("w"))
+    """slide_no, values, gid (the smallest id), w (the number of points) and ids, at most a slide of them."""
+    groups = with_slide(points, slide).groupBy("slide_no", "values").agg(F.collect_list("id").alias("ids"))
+    return groups.select("slide_no", "values", F.array_min("ids").alias("gid"), F.size("ids").cast("long").alias("w"), "ids")
 
 
 def _credited(found: DataFrame) -> DataFrame:
-    """Neighbours that each group gets from pairs of groups: slide_no, values, nbr_slide, n. A point is no neighbour of itself."""
-    own = F.struct(F.col("x_slide_no").alias("slide_no"), F.col("x_values").alias("values"), F.col("q_slide_no").alias("nbr_slide"), (F.col("q_w") - F.when((F.col("x_slide_no") == F.col("q_slide_no")) & (F.col("x_values") == F.col("q_values")), 1).otherwise(0)).alias("n"))
-    other = F.struct(F.col("q_slide_no").alias("slide_no"), F.col("q_values").alias("values"), F.col("x_slide_no").alias("nbr_slide"), F.col("x_w").alias("n"))
+    """Neighbours that each group gets from pairs of groups: gid, o (the other slide minus the own one), n. A point is no neighbour of itself."""
+    gap = F.col("x_slide_no") - F.col("q_slide_no")
+    own = F.struct(F.col("x_gid").alias("gid"), (-gap).cast("int").alias("o"), (F.col("q_w") - (F.col("x_gid") == F.col("q_gid")).cast("int")).alias("n"))
+    other = F.struct(F.col("q_gid").alias("gid"), gap.cast("int").alias("o"), F.col("x_w").alias("n"))
     # Within a slide the join meets both orders already.
-    both = F.when(F.col("x_slide_no") == F.col("q_slide_no"), F.array(own)).otherwise(F.array(own, other))
+    both = F.when(gap == 0, F.array(own)).otherwise(F.array(own, other))
     return found.select(F.explode(both).alias("c")).select("c.*")
 
 
+class Spread:
+    """A group's neighbours by slide, from n - 1 slides before its own (place 0) to n - 1 after it (place 2n - 2)."""
+
+    def __init__(self, p: Params):
+        self.n, self.width = p.n, 2 * p.n - 1
+        self.unrolled = p.n <= UNROLLED_SLIDES
+
+    def aggregate(self, credited: DataFrame) -> DataFrame:
+        """gid and the numbers: columns c0, c1, ... or an array c."""
+        if self.unrolled:
+            place = F.col("o") + (self.n - 1)
+            return credited.groupBy("gid").agg(*(F.sum(F.when(place == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(self.width)))
+        per = credited.groupBy("gid", "o").agg(F.sum("n").alias("n")).groupBy("gid").agg(F.map_from_entries(F.collect_list(F.struct("o", "n"))).alias("m"))
+        all_ = F.transform(F.sequence(F.lit(1 - self.n), F.lit(self.n - 1)), lambda o: F.coalesce(F.try_element_at("m", o), F.lit(0)).cast("long"))
+        return per.select("gid", all_.alias("c"))
+
+    def sums(self, first: int, step: int, length: int, grow: int, many: int) -> Column:
+        """An array of `many` sums: the i-th of length + i * grow numbers from place first + i * step."""
+        if many <= 0:
+            return F.array().cast("array<long>")
+        if self.unrolled:
+            spans = [(first + i * step, length + i * grow) for i in range(many)]
+            return F.array(*(reduce(add, (F.col(f"c{k}") for k in range(at, at + size)), F.lit(0).cast("long")) for at, size in spans))
+        total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, v: s + v)
+        return F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: total(F.slice("c", i * step + first + 1, i * grow + length)))
+
+    def each(self) -> Column:
+        return self.sums(0, 1, 1, 0, self.width)
+
+    def ends(self) -> Column:
+        """Counts at the ends of the batches slide_no to slide_no + n - 1."""
+        return self.sums(0, 1, self.n, 0, self.n)
+
+    def after_expiry(self) -> Column:
+        """Counts in the batches slide_no + 1 to slide_no + n - 1 when the oldest slide has gone and the new one has not come."""
+        return self.sums(1, 1, self.n - 1, 0, self.n - 1)
+
+    def later(self) -> Column:
+        """Neighbours of the own slide, of it and the next one, and so on."""
+        return self.sums(self.n - 1, 0, 1, 1, self.n)
+
+    def before(self) -> Column:
+        return self.sums(0, 0, self.n - 1, 0, 1)[0] if self.n > 1 else F.lit(0).cast("long")
+
+
 def group_counts(points: DataFrame, p: Params, dims: int, found: DataFrame | None = None) -> DataFrame:
-    """slide_no, values, w, and c: an array with the neighbours in each slide from slide_no - n + 1 to slide_no + n - 1."""
+    """gid, slide_no, w, ids and the numbers of Spread. Every group meets itself, so none is missing."""
     groups = grouped(points, p.slide)
-    found = earlier_pairs(groups, p, dims, keep=("w",)) if found is None else found
-    per = _credited(found).groupBy("slide_no", "values", "nbr_slide").agg(F.sum("n").alias("n"))
-    per = per.groupBy("slide_no", "values").agg(F.map_from_entries(F.collect_list(F.struct((F.col("nbr_slide") - F.col("slide_no")).cast("int").alias("o"), "n"))).alias("m"))
-    offsets = F.sequence(F.lit(1 - p.n), F.lit(p.n - 1))
-    c = F.transform(offsets, lambda o: F.coalesce(F.try_element_at(F.col("m"), o.cast("int")), F.lit(0)).cast("long"))
-    # Every group meets itself, so none is missing.
-    return per.join(groups, ["slide_no", "values"]).select("slide_no", "values", "w", c.alias("c"))
+    found = earlier_pairs(groups, p, dims, keep=("gid", "w")) if found is None else found
+    return Spread(p).aggregate(_credited(found)).join(groups.select("gid", "slide_no", "w", "ids"), "gid")
 
 
 def last_batch(points: DataFrame, slide: int) -> Column:
@@ -45,31 +94,22 @@ def last_batch(points: DataFrame, slide: int) -> Column:
     return with_slide(points, slide).agg(F.max("slide_no")).scalar()
 
 
-def _window_sums(p: Params, first: int = 0) -> Column:
-    """Counts at the end of each batch that a group lives in: from its own (first = 0) on."""
-    return F.transform(F.sequence(F.lit(first), F.lit(p.n - 1)), lambda j: F.aggregate(F.slice("c", j + 1, p.n), F.lit(0).cast("long"), lambda s, v: s + v))
-
-
 def window_sums(points: DataFrame, p: Params, dims: int, found: DataFrame | None = None) -> DataFrame:
-    """slide_no, values, w, c and cnt: an array with the counts at the ends of batches slide_no to the last one lived in."""
+    """slide_no, w, ids and cnt: an array with the counts at the ends of batches slide_no to the last one lived in."""
     lived = F.least(F.lit(p.n), last_batch(points, p.slide) - F.col("slide_no") + 1).cast("int")
-    return group_counts(points, p, dims, found).withColumn("cnt", F.slice(_window_sums(p), 1, lived))
-
-
-def _to_points(points: DataFrame, p: Params, groups: DataFrame) -> DataFrame:
-    return with_slide(points, p.slide).join(groups.drop("w"), ["slide_no", "values"])
+    return group_counts(points, p, dims, found).select("slide_no", "w", "ids", F.slice(Spread(p).ends(), 1, lived).alias("cnt"))
 
 
 def slide_counts(points: DataFrame, p: Params, dims: int) -> DataFrame:
     """id, nbr_slide and n, for the slides in which a point has neighbours."""
-    found = _to_points(points, p, group_counts(points, p, dims))
-    return found.select("id", "slide_no", F.posexplode("c").alias("i", "n")).filter("n > 0").select("id", (F.col("slide_no") + F.col("i") - (p.n - 1)).alias("nbr_slide"), "n")
+    found = group_counts(points, p, dims).select("slide_no", "ids", F.posexplode(Spread(p).each()).alias("i", "n")).filter("n > 0")
+    return found.select(F.explode("ids").alias("id"), (F.col("slide_no") + F.col("i") - (p.n - 1)).alias("nbr_slide"), "n")
 
 
 def window_counts(points: DataFrame, p: Params, dims: int) -> DataFrame:
     """id, batch and cnt, zeros included."""
-    found = _to_points(points, p, window_sums(points, p, dims))
-    return found.select("id", "slide_no", F.posexplode("cnt").alias("i", "cnt")).select("id", (F.col("slide_no") + F.col("i")).alias("batch"), "cnt")
+    found = window_sums(points, p, dims).select("slide_no", "ids", F.posexplode("cnt").alias("i", "cnt"))
+    return found.select(F.explode("ids").alias("id"), (F.col("slide_no") + F.col("i")).alias("batch"), "cnt")
 
 
 def window_outliers(points: DataFrame, p: Params, dims: int) -> DataFrame:
@@ -85,15 +125,14 @@ def outliers_per_window(points: DataFrame, p: Params, dims: int) -> DataFrame:
 
 def pure_outliers(points: DataFrame, p: Params, dims: int, found: DataFrame | None = None) -> DataFrame:
     """id of the points that are outliers in every window that they live in."""
-    pure = window_sums(points, p, dims, found).filter(F.array_max("cnt") < p.k).select("slide_no", "values")
-    return with_slide(points, p.slide).join(pure, ["slide_no", "values"], "left_semi").select("id")
+    return window_sums(points, p, dims, found).filter(F.array_max("cnt") < p.k).select(F.explode("ids").alias("id"))
 
 
 def safe_inliers(points: DataFrame, p: Params, dims: int) -> DataFrame:
     """id and the first batch from which its neighbours of the same or later slides make it an inlier for good."""
-    after = F.transform(F.sequence(F.lit(1), F.lit(p.n)), lambda j: F.aggregate(F.slice("c", p.n, j), F.lit(0).cast("long"), lambda s, v: s + v))
-    groups = group_counts(points, p, dims).withColumn("at", F.array_position(F.transform(after, lambda v: v >= p.k), True)).filter("at > 0")
-    return _to_points(points, p, groups.select("slide_no", "values", "w", "at")).select("id", (F.col("slide_no") + F.col("at") - 1).cast("long").alias("safe_from"))
+    at = F.array_position(F.transform(Spread(p).later(), lambda v: v >= p.k), True)
+    groups = group_counts(points, p, dims).select("slide_no", "ids", at.alias("at")).filter("at > 0")
+    return groups.select(F.explode("ids").alias("id"), (F.col("slide_no") + F.col("at") - 1).cast("long").alias("safe_from"))
 
 
 def arrival_counts(points: DataFrame, p: Params, dims: int) -> DataFrame:
@@ -105,18 +144,15 @@ def arrival_counts(points: DataFrame, p: Params, dims: int) -> DataFrame:
 def post_expiry_counts(points: DataFrame, p: Params, dims: int) -> DataFrame:
     """id, batch after the own one, and cnt, the neighbours left when the oldest slide has expired and the new one has not come."""
     lived = F.least(F.lit(p.n - 1), last_batch(points, p.slide) - F.col("slide_no")).cast("int")
-    sums = F.transform(F.sequence(F.lit(1), F.lit(max(1, p.n - 1))), lambda j: F.aggregate(F.slice("c", j + 1, p.n - 1), F.lit(0).cast("long"), lambda s, v: s + v)) if p.n > 1 else F.array().cast("array<long>")
-    groups = group_counts(points, p, dims).withColumn("after", F.slice(sums, 1, lived))
-    found = _to_points(points, p, groups.select("slide_no", "values", "w", "after"))
-    return found.select("id", "slide_no", F.posexplode("after").alias("i", "cnt")).select("id", (F.col("slide_no") + F.col("i") + 1).alias("batch"), "cnt")
+    groups = group_counts(points, p, dims).select("slide_no", "ids", F.slice(Spread(p).after_expiry(), 1, lived).alias("after"))
+    found = groups.select("slide_no", "ids", F.posexplode("after").alias("i", "cnt"))
+    return found.select(F.explode("ids").alias("id"), (F.col("slide_no") + F.col("i") + 1).alias("batch"), "cnt")
 
 
 def before_and_after(points: DataFrame, p: Params, dims: int) -> DataFrame:
     """id, preceding (neighbours of earlier slides) and succeeding (of the same or later slides)."""
-    found = _to_points(points, p, group_counts(points, p, dims))
-    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, v: s + v)
-    before = total(F.slice("c", 1, p.n - 1)) if p.n > 1 else F.lit(0).cast("long")
-    return found.select("id", before.alias("preceding"), total(F.slice("c", p.n, p.n)).alias("succeeding"))
+    s = Spread(p)
+    return group_counts(points, p, dims).select(F.explode("ids").alias("id"), s.before().alias("preceding"), s.later()[p.n - 1].alias("succeeding"))
 
 
 def oldest_preceding(points: DataFrame, p: Params, dims: int) -> DataFrame:
@@ -127,14 +163,12 @@ def oldest_preceding(points: DataFrame, p: Params, dims: int) -> DataFrame:
 
 def lifecycle(points: DataFrame, p: Params, dims: int) -> DataFrame:
     """id, ever_in and ever_out, over the counts on arrival, after expiry and at the end of batches."""
-    ends = F.transform(F.sequence(F.lit(0), F.lit(p.n - 1)), lambda j: F.aggregate(F.slice("c", j + 1, p.n), F.lit(0).cast("long"), lambda s, v: s + v))
-    last = last_batch(points, p.slide)
-    groups = group_counts(points, p, dims).withColumn("cnt", F.slice(ends, 1, F.least(F.lit(p.n), last - F.col("slide_no") + 1).cast("int")))
-    if p.n > 1:
-        after = F.transform(F.sequence(F.lit(1), F.lit(p.n - 1)), lambda j: F.aggregate(F.slice("c", j + 1, p.n - 1), F.lit(0).cast("long"), lambda s, v: s + v))
-        groups = groups.withColumn("cnt", F.concat("cnt", F.slice(after, 1, F.least(F.lit(p.n - 1), last - F.col("slide_no")).cast("int"))))
-    groups = groups.select("slide_no", "values", "w", (F.array_max("cnt") >= p.k).alias("i"), (F.array_min("cnt") < p.k).alias("o"))
-    found = _to_points(points, p, groups).join(arrival_counts(points, p, dims), "id")
+    s, last = Spread(p), last_batch(points, p.slide)
+    ends = F.slice(s.ends(), 1, F.least(F.lit(p.n), last - F.col("slide_no") + 1).cast("int"))
+    after = F.slice(s.after_expiry(), 1, F.least(F.lit(p.n - 1), last - F.col("slide_no")).cast("int"))
+    groups = group_counts(points, p, dims).select("ids", F.concat(ends, after).alias("cnt"))
+    judged = groups.select(F.explode("ids").alias("id"), (F.array_max("cnt") >= p.k).alias("i"), (F.array_min("cnt") < p.k).alias("o"))
+    found = judged.join(arrival_counts(points, p, dims), "id")
     return found.select("id", (F.col("i") | (F.col("a") >= p.k)).alias("ever_in"), (F.col("o") | (F.col("a") < p.k)).alias("ever_out"))
 
 

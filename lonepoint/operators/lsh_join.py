@@ -34,15 +34,12 @@ def group_pairs(points: DataFrame, p: Params, lsh: LshParams, dims: int, verify:
 
 def candidates(points: DataFrame, p: Params, lsh: LshParams, dims: int, verify: bool = False) -> DataFrame:
     """Ordered pairs id, nbr_id of different co-resident points that share a bucket, and their distance d."""
-    own = points.select("id", "values", (F.floor((F.col("id") - 1) / p.slide) + 1).alias("slide_no"))
-    found = group_pairs(points, p, lsh, dims, verify).select("x_slide_no", "x_values", "q_slide_no", "q_values")
-    x = own.select(F.col("id").alias("x_id"), F.col("slide_no").alias("x_slide_no"), F.col("values").alias("x_values"))
-    q = own.select(F.col("id").alias("q_id"), F.col("slide_no").alias("q_slide_no"), F.col("values").alias("q_values"))
-    met = found.join(x, ["x_slide_no", "x_values"]).join(q, ["q_slide_no", "q_values"]).filter(F.col("x_id") > F.col("q_id"))
     d = euclidean("x_values", "q_values", dims)
-    # Within a slide the groups meet in both orders, and ids give one of them.
+    found = group_pairs(points, p, lsh, dims, verify).select(d.alias("d"), F.explode("x_ids").alias("x_id"), "q_ids")
+    # Within a slide the groups meet in both orders, and the order of ids gives one of them.
+    met = found.select("d", "x_id", F.explode("q_ids").alias("q_id")).filter(F.col("x_id") > F.col("q_id"))
     both = F.array(F.struct(F.col("x_id").alias("id"), F.col("q_id").alias("nbr_id")), F.struct(F.col("q_id").alias("id"), F.col("x_id").alias("nbr_id")))
-    return met.select(F.explode(both).alias("p"), d.alias("d")).select("p.*", "d")
+    return met.select(F.explode(both).alias("p"), "d").select("p.*", "d")
 
 
 def lsh_pure_outliers(points: DataFrame, p: Params, lsh: LshParams, dims: int, verify: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,18 @@ from lonepoint.plans.storage import checkpointed
 
 def points(df: DataFrame, id_: Column, values: list[Column], *keep: Column) -> DataFrame:
     """From a table with an order column; NaN has no distance, so it is an error, as is null."""
-    made = F.array(*(v.cast("double") for v in values))
-    return df.select(id_.cast("long").alias("id"), checked(made).alias("values"), *keep)
+    made = [v.cast("double") for v in values]
+    bad = reduce(lambda a, b: a | b, (v.isNull() | F.isnan(v) for v in made))
+    return df.select(id_.cast("long").alias("id"), F.when(bad, _bad()).otherwise(F.array(*made)).alias("values"), *keep)
 
 
 def checked(values: Column) -> Column:
     bad = values.isNull() | F.exists(values, lambda v: v.isNull() | F.isnan(v))
-    return F.when(bad, F.raise_error(F.lit("a point has a null or NaN value"))).otherwise(values)
+    return F.when(bad, _bad()).otherwise(values)
+
+
+def _bad() -> Column:
+    return F.raise_error(F.lit("a point has a null or NaN value"))
 
 
 def dimensions(df: DataFrame) -> int:

@@ -61,6 +61,7 @@ def streams():
     yield [rng.choice([1.0, 1.0, 5.0]) for _ in range(55)], Params(12, 3, 0.5, 4)
     yield [(rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(90)], Params(40, 8, 0.9, 2)
     yield [1.0], Params(4, 2, 1.0, 1)
+    yield [round(rng.gauss(0, 1), 1) for _ in range(70)], Params(30, 1, 0.25, 3)  # sums by arrays
     yield [round(rng.gauss(0, 3), 1) for _ in range(40)], Params(8, 1, 1.05, 0)
 
 
