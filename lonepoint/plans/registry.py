@@ -11,6 +11,7 @@ from lonepoint.functions import lsh as lsh_functions
 from lonepoint.functions import vectors
 from lonepoint.operators import counts, lsh_join, neighbors, sets
 from lonepoint.params import LshParams, Params
+from lonepoint.plans.ship import ship
 from lonepoint.plans.storage import shared_folder
 from lonepoint.sources import points as source
 from lonepoint.streaming import replay
@@ -38,6 +39,7 @@ def query(oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
