@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lonepoint.plans.ship import ship
+
 #: Rows and bytes of text that one Arrow batch holds at most, so that Python workers stay small.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
-ROOT = Path(__file__).resolve().parents[2]
-
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session and make this package importable on its executors."""
@@ -25,14 +22,7 @@ def prepare(spark: SparkSession) -> None:
         value = int(now) if now and now.lstrip("-").isdigit() else 0
         if value <= 0 or value > most:
             spark.conf.set(key, str(most))
-    sc = spark.sparkContext
-    if str(ROOT) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and getattr(sc, "_lonepoint_shipped", None) is None:
-        with tempfile.TemporaryDirectory() as d:
-            with zipfile.ZipFile(to := f"{d}/lonepoint_code.zip", "w") as z:
-                for p in sorted((ROOT / "lonepoint").rglob("*.py")):
-                    z.write(p, p.relative_to(ROOT))
-            sc.addPyFile(to)
-            sc._lonepoint_shipped = Path(to).read_bytes() and True
+    ship(spark)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
