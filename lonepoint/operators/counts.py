@@ -78,6 +78,10 @@ class Spread:
         """Neighbours of the own slide, of it and the next one, and so on."""
         return self.sums(self.n - 1, 0, 1, 1, self.n)
 
+    def live_before(self) -> Column:
+        """Neighbours of earlier slides that are still resident at the ends of the batches slide_no to slide_no + n - 1."""
+        return F.concat(self.sums(0, 1, self.n - 1, -1, self.n - 1), F.array(F.lit(0).cast("long")))
+
     def before(self) -> Column:
         return self.sums(0, 0, self.n - 1, 0, 1)[0] if self.n > 1 else F.lit(0).cast("long")
 
@@ -155,21 +159,36 @@ def before_and_after(points: DataFrame, p: Params, dims: int) -> DataFrame:
     return group_counts(points, p, dims).select(F.explode("ids").alias("id"), s.before().alias("preceding"), s.later()[p.n - 1].alias("succeeding"))
 
 
+def live_preceding_counts(points: DataFrame, p: Params, dims: int) -> DataFrame:
+    """id, batch and n, the neighbours of earlier slides that are resident at the end of each batch lived in."""
+    lived = F.least(F.lit(p.n), last_batch(points, p.slide) - F.col("slide_no") + 1).cast("int")
+    groups = group_counts(points, p, dims).select("slide_no", "ids", F.slice(Spread(p).live_before(), 1, lived).alias("live"))
+    found = groups.select("slide_no", "ids", F.posexplode("live").alias("i", "n"))
+    return found.select(F.explode("ids").alias("id"), (F.col("slide_no") + F.col("i")).alias("batch"), "n")
+
+
 def oldest_preceding(points: DataFrame, p: Params, dims: int) -> DataFrame:
     """id, the smallest id of its neighbours in earlier slides, and when that one expires."""
     found = pairs(points, p, dims).filter(F.col("nbr_slide") < F.col("slide_no"))
     return found.groupBy("id").agg(F.min("nbr_id").alias("oldest")).withColumn("expires", F.col("oldest") + p.window + 1)
 
 
-def lifecycle(points: DataFrame, p: Params, dims: int) -> DataFrame:
-    """id, ever_in and ever_out, over the counts on arrival, after expiry and at the end of batches."""
+def assignments(points: DataFrame, p: Params, dims: int) -> DataFrame:
+    """id, n_inlier and n_outlier: verdicts on arrival, after each expiry and at the end of each batch."""
     s, last = Spread(p), last_batch(points, p.slide)
     ends = F.slice(s.ends(), 1, F.least(F.lit(p.n), last - F.col("slide_no") + 1).cast("int"))
     after = F.slice(s.after_expiry(), 1, F.least(F.lit(p.n - 1), last - F.col("slide_no")).cast("int"))
     groups = group_counts(points, p, dims).select("ids", F.concat(ends, after).alias("cnt"))
-    judged = groups.select(F.explode("ids").alias("id"), (F.array_max("cnt") >= p.k).alias("i"), (F.array_min("cnt") < p.k).alias("o"))
+    inlier = F.size(F.filter("cnt", lambda v: v >= p.k))
+    judged = groups.select(F.explode("ids").alias("id"), inlier.alias("i"), (F.size("cnt") - inlier).alias("o"))
     found = judged.join(arrival_counts(points, p, dims), "id")
-    return found.select("id", (F.col("i") | (F.col("a") >= p.k)).alias("ever_in"), (F.col("o") | (F.col("a") < p.k)).alias("ever_out"))
+    now = (F.col("a") >= p.k).cast("int")
+    return found.select("id", (F.col("i") + now).cast("long").alias("n_inlier"), (F.col("o") + 1 - now).cast("long").alias("n_outlier"))
+
+
+def lifecycle(points: DataFrame, p: Params, dims: int) -> DataFrame:
+    """id, ever_in and ever_out, over the counts on arrival, after expiry and at the end of batches."""
+    return assignments(points, p, dims).select("id", (F.col("n_inlier") > 0).alias("ever_in"), (F.col("n_outlier") > 0).alias("ever_out"))
 
 
 def lifecycle_counts(points: DataFrame, p: Params, dims: int) -> DataFrame:

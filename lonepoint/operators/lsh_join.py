@@ -16,6 +16,11 @@ def keys(points: DataFrame, lsh: LshParams, dims: int) -> DataFrame:
     return points.select("id", F.posexplode(table_keys(F.col("values"), lsh, dims)).alias("tbl", "key"))
 
 
+def buckets(points: DataFrame, lsh: LshParams, dims: int) -> DataFrame:
+    """tbl, key and n, the points of each bucket."""
+    return keys(points, lsh, dims).groupBy("tbl", "key").agg(F.count("*").alias("n"))
+
+
 def group_pairs(points: DataFrame, p: Params, lsh: LshParams, dims: int, verify: bool) -> DataFrame:
     """Pairs of groups of equal points that share a bucket, each once: in the first table where they do, so that nothing needs a distinct.
 

@@ -14,7 +14,7 @@ from lonepoint.params import LshParams, Params
 from lonepoint.plans.ship import ship
 from lonepoint.plans.storage import shared_folder
 from lonepoint.sources import points as source
-from lonepoint.streaming import replay
+from lonepoint.streaming import replay, structured
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -152,9 +152,23 @@ def expiration_stamp(spark, sf_dir):
     return events(spark, sf_dir).select("id", vectors.expiration_stamp("id", EVENTS.window).alias("expires"))
 
 
+@query(f"WITH {_e(EVENTS)} SELECT s + {EVENTS.n} AS batch, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM e, b WHERE s + {EVENTS.n} <= last GROUP BY ALL")
+def expired_points(spark, sf_dir):
+    """By batch the points that leave the window when it comes."""
+    pts = events(spark, sf_dir)
+    gone = neighbors.with_slide(pts, EVENTS.slide).select("id", (F.col("slide_no") + EVENTS.n).alias("batch"))
+    return gone.filter(F.col("batch") <= counts.last_batch(pts, EVENTS.slide)).groupBy("batch").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
+
+
 # Scalar functions and similarity joins
 
 
+@query("SELECT vec_id + 1 AS id, row_number() OVER (ORDER BY embedding::DOUBLE[], vec_id) AS place FROM embeddings")
+def point_order(spark, sf_dir):
+    """Points in lexicographic order of their values."""
+    return source.ranked(embeddings(spark, sf_dir), "values", "id", name="place").select("id", "place")
+
+
 @query(f"WITH {_V} SELECT id, nbr_id, d FROM r")
 def euclidean_pairs(spark, sf_dir):
     return neighbors.all_resident_pairs(embeddings(spark, sf_dir), VECTORS, DIMS).select("id", "nbr_id", "d")
@@ -253,6 +267,12 @@ def preceding_succeeding_counts(spark, sf_dir):
     return counts.before_and_after(events(spark, sf_dir), EVENTS, 1)
 
 
+@query(f"""WITH {_e(EVENTS)}, {_nb(EVENTS)}, w AS (SELECT id, s, unnest(range(s, least(s + {EVENTS.n - 1}, last) + 1)) AS batch FROM e, b)
+SELECT w.id, w.batch, count(nb.nbr_id) AS n FROM w LEFT JOIN nb ON nb.id = w.id AND nb.t < w.s AND nb.t >= w.batch - {EVENTS.n - 1} GROUP BY ALL""")
+def live_preceding_counts(spark, sf_dir):
+    return counts.live_preceding_counts(events(spark, sf_dir), EVENTS, 1)
+
+
 @query(f"WITH {_e(EVENTS)}, {_nb(EVENTS)} SELECT id, min(nbr_id) AS oldest, min(nbr_id) + {EVENTS.window + 1} AS expires FROM nb WHERE t < s GROUP BY id")
 def oldest_preceding(spark, sf_dir):
     return counts.oldest_preceding(events(spark, sf_dir), EVENTS, 1)
@@ -304,6 +324,11 @@ f AS (SELECT id, max(cnt) >= {EVENTS.k} AS i, min(cnt) < {EVENTS.k} AS o FROM (S
 c AS (SELECT count(*) FILTER (i AND NOT o) AS only_in, count(*) FILTER (o AND NOT i) AS only_out, count(*) FILTER (i AND o) AS both_ FROM f)"""
 
 
+@query(_LIFE + f"SELECT id, count(*) FILTER (cnt >= {EVENTS.k}) AS n_inlier, count(*) FILTER (cnt < {EVENTS.k}) AS n_outlier FROM (SELECT id, cnt FROM wc UNION ALL SELECT id, cnt FROM a UNION ALL SELECT id, cnt FROM p) GROUP BY id")
+def assignment_counts(spark, sf_dir):
+    return counts.assignments(events(spark, sf_dir), EVENTS, 1)
+
+
 @query(_LIFE + 'SELECT only_in, only_out, both_ AS "both" FROM c')
 def lifecycle_counts(spark, sf_dir):
     return counts.lifecycle_counts(events(spark, sf_dir), EVENTS, 1)
@@ -340,6 +365,11 @@ def lsh_keys(spark, sf_dir):
     return lsh_join.keys(events(spark, sf_dir), LSHOD, 1)
 
 
+@query("SELECT tbl, key, count(*) AS n FROM (" + ORACLES["lsh_keys"] + ") GROUP BY ALL")
+def lsh_buckets(spark, sf_dir):
+    return lsh_join.buckets(events(spark, sf_dir), LSHOD, 1)
+
+
 @query(f"WITH {_lsh(EVENTS, LSHOD, False)} SELECT id, nbr_id, d FROM nb")
 def lsh_candidates(spark, sf_dir):
     return lsh_join.candidates(events(spark, sf_dir), EVENTS, LSHOD, 1)
@@ -383,6 +413,11 @@ def min_max(spark, sf_dir):
     return sets.min_max(events(spark, sf_dir).select(F.col("values")[0].alias("v")), "v")
 
 
+@query("SELECT event_id + 1 AS id FROM events ORDER BY ((event_id + 1 + 7) * 48271) % 2147483647, event_id LIMIT 25")
+def random_sample(spark, sf_dir):
+    return sets.sample(events(spark, sf_dir).select("id"), 25, seed=7)
+
+
 # Stateful detectors: a stream for each type of event, each with ids of its own.
 
 
@@ -410,6 +445,13 @@ def stateful_slides(spark, sf_dir):
     return replay.replay(streams(spark, sf_dir), replay.Exact(STREAM)).filter("kind = 'slide'").select("stream_id", "id", "residents", "outliers")
 
 
+@query(ORACLES["stateful_exact"])
+def structured_exact(spark, sf_dir):
+    """The same through Structured Streaming, file by file."""
+    found = structured.run_over_files(streams(spark, sf_dir), replay.Exact(STREAM))
+    return found.filter("kind = 'outlier'").select("stream_id", "id")
+
+
 @query()
 def approx_mcod(spark, sf_dir):
     """The approximate detector with a bounded list of unclustered points; its choices are random by seed."""

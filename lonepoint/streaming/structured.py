@@ -7,11 +7,14 @@ of file, so a row whose values are null closes its stream: the short last slide
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from lonepoint.plans.storage import shared_folder
 from lonepoint.streaming.detectors import NUMBERS
 from lonepoint.streaming.replay import FIELDS, Run
 
@@ -35,3 +38,23 @@ def detect(points: DataFrame, detector) -> DataFrame:
         yield out.astype({c: "Int64" for c in ("id", *NUMBERS)})
 
     return points.groupBy("stream_id").applyInPandasWithState(run, FIELDS, "state binary", "append", "NoTimeout")
+
+
+def run_over_files(points: DataFrame, detector, files: int = 4) -> DataFrame:
+    """The whole way through Structured Streaming: points written as files in order of their ids, each a micro-batch, the streams
+    closed by a last file, and what the detector appends written to a sink of files and read from it."""
+    spark = points.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    inner = points.select(F.col("stream_id").cast("string").alias("stream_id"), "id", "values")
+    last = inner.groupBy("stream_id").agg(F.max("id").alias("last")).persist()
+    part = F.least(F.floor((F.col("id") - 1) * files / F.col("last")), F.lit(files - 1))
+    cut = inner.join(last, "stream_id").select("stream_id", "id", "values", part.cast("int").alias("part"))
+    for k in range(files):
+        cut.filter(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{at}/in/{k:05d}")
+    close = last.select("stream_id", (F.col("last") + 1).alias("id"), F.lit(None).cast("array<double>").alias("values"))
+    close.coalesce(1).write.parquet(f"{at}/in/{files:05d}")
+    stream = spark.readStream.schema(inner.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+    q = detect(stream, detector).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last.unpersist()
+    return spark.read.schema(FIELDS).parquet(f"{at}/out")
