@@ -43,12 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
+#: Shuffle partitions whose rows a narrow table has in one file.
+FEWER = 16
+
+
+def stored(df: DataFrame, name: str = "t", narrow: bool = False) -> DataFrame:
     """df written as Parquet to the shared folder and read again: it has no lineage, and lost executors take nothing of it away.
 
-    The folder goes when the JVM ends, or before by discard().
+    A narrow table, of a few numbers for some of the rows, is dealt to fewer tasks first: its files would be tiny, and making
+    them costs more than their rows. The folder goes when the JVM ends, or before by discard().
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // FEWER))
     path = f"{shared_dir(spark)}/lonepoint-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
