@@ -18,16 +18,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neither links nor components come to the driver; only their number and a checksum do. The number of rounds grows with the
     logarithm of the nodes. A node with very many links is split by the skew join, as both sides are shuffled for it alone.
     """
-    now = stored(_larger_first(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "links")
+    now = stored(_larger_first(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "links", narrow=True)
     before = _checksum(now)
     while True:
-        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Large star: a link to v goes to v's smallest neighbour instead. Only nodes with a smaller neighbour have one that counts,
+        # and these are written first, so that the join shuffles both its sides and can split a node of very many links.
+        least = stored(now.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m"), "least", narrow=True)
+        large = now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        # Small star: what is left of a node's smaller neighbours is linked to the smallest of them.
+        least_seen, least = least, large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        new = stored(_larger_first(small), "links")
+        new = stored(_larger_first(small), "links", narrow=True)
         discard(now)
+        discard(least_seen)
         now, after = new, _checksum(new)
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,11 +6,12 @@ overlapping shards, of about SHARD points, and a cluster that gets more is dealt
 builds its graph: each point is linked to the neighbours that robust pruning leaves of its nearest CANDIDATES, both ways.
 Adjacency lists of a point from its shards are united, and the search in a shard runs over the united lists. A
 range-expanding greedy search starts at the shard's medoids, walks the graph to the query's region with a beam and then
-grows over all neighbours that are within the range or near it. Every point is a query in each of its shards, where its own
-links are a start as well. What
+grows over all neighbours that are within the range or near it. Every point is a query in the shard of its nearest centre, where
+its own links are a start as well, and an answer in both of its shards. What
 the search finds is verified by cosine in double precision.
 
-A pair that shares two shards counts in the first of them. Shards hand on counts and a spanning forest, never the
+A pair found counts for both its points, once: where both are queries of one shard, or each is an answer in the other's, the
+first of these shards counts it. Shards hand on counts and a spanning forest, never the
 pairs. audit() measures recall against brute force for stated queries (ids divisible by 100) over all rows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
@@ -32,12 +33,12 @@ from lonepoint.llm import common
 from lonepoint.llm.graph import components, groups
 
 THRESHOLD = 0.93
-#: Points of a shard, about; nearest points that pruning chooses from; links it leaves; its slack; beam of the greedy walk; medoids.
-SHARD, CANDIDATES, DEGREE, ALPHA, BEAM, MEDOIDS = 1500, 48, 24, 1.15, 24, 8
+#: Points of a shard, about; nearest points that pruning chooses from; links it leaves; its slack; beam of the greedy walk and points it walks from at once; medoids.
+SHARD, CANDIDATES, DEGREE, ALPHA, BEAM, STEP, MEDOIDS = 1500, 40, 24, 1.15, 16, 6, 8
 #: Below the threshold by this much, a point still carries the search on.
 SLACK = 0.12
 #: Vectors of a label from which its centres are taken, at most; centres compared at once.
-CENTRE_SAMPLE, MOST_CENTRES, SEED = 1 << 15, 4096, 11
+CENTRE_SAMPLE, MOST_CENTRES, MOST_PARTS, SEED = 1 << 15, 4096, 20_000, 11
 NO_ID = (1 << 63) - 1
 
 
@@ -128,7 +129,7 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
         return chosen
 
     for i in range(n):
-        wide = [j for these in near[i][1:] if len(these) for j in pruned(i, these)[: max(2, degree // 6)]]
+        wide = pruned(i, np.unique(np.concatenate(near[i][1:])))[: degree // 3] if len(near[i]) > 1 else []
         out[i] = list(dict.fromkeys(pruned(i, near[i][0])[: degree - degree // 4] + wide))
     back: list[list[int]] = [[] for _ in range(n)]
     for i, links in enumerate(out):
@@ -140,33 +141,41 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
     return out
 
 
-def range_search(x: np.ndarray, links: list[np.ndarray], starts: np.ndarray, query: np.ndarray, threshold: float, beam: int = BEAM, slack: float = SLACK) -> np.ndarray:
-    """The points within the threshold of the query that the search meets."""
-    seen = np.zeros(len(x), bool)
+def padded(links: list) -> np.ndarray:
+    """Adjacency lists as rows of one length, filled up with the point itself."""
+    width = max((len(v) for v in links), default=0)
+    out = np.repeat(np.arange(len(links))[:, None], max(1, width), axis=1)
+    for i, v in enumerate(links):
+        out[i, : len(v)] = v
+    return out
+
+
+def range_search(x: np.ndarray, links: np.ndarray, starts: np.ndarray, query: np.ndarray, threshold: float, beam: int = BEAM, slack: float = SLACK) -> np.ndarray:
+    """The points within the threshold of the query that the search meets. links: padded adjacency lists."""
+    seen, done = np.zeros(len(x), bool), np.zeros(len(x), bool)
     seen[starts] = True
     score = x[starts] @ query
-    frontier, values = starts, score
     found = [starts[score >= threshold]]
-    pool, pool_values = starts, score
-    done = np.zeros(len(x), bool)
+    wide = starts[score >= threshold - slack]
+    pool, values = starts, score
     while True:
-        # Walk on from the best of the beam that weren't walked from yet, several at once.
-        order = np.argsort(-pool_values, kind="stable")[:beam]
-        pool, pool_values = pool[order], pool_values[order]
-        # Within the range or near it everything is walked from, beyond the beam.
-        wide = frontier[values >= threshold - slack]
-        todo = np.union1d(pool[~done[pool]][:4], wide[~done[wide]])
+        # Walk on from the best of the beam that weren't walked from yet, several at once; within the range or near it everything is
+        # walked from, beyond the beam.
+        order = np.argsort(-values, kind="stable")[:beam]
+        pool, values = pool[order], values[order]
+        todo = np.concatenate([pool[~done[pool]][:STEP], wide])
+        todo = todo[~done[todo]]
         if not len(todo):
             break
         done[todo] = True
-        new = np.unique(np.concatenate([links[i] for i in todo.tolist()]))
+        new = links[todo].ravel()
         new = new[~seen[new]]
         seen[new] = True
-        s = x[new] @ query
-        found.append(new[s >= threshold])
-        frontier, values = np.concatenate([frontier[~done[frontier]], new]), None
-        values = x[frontier] @ query if len(frontier) else np.zeros(0)
-        pool, pool_values = np.concatenate([pool, new]), np.concatenate([pool_values, s])
+        new = np.unique(new)
+        score = x[new] @ query
+        found.append(new[score >= threshold])
+        wide = new[score >= threshold - slack]
+        pool, values = np.concatenate([pool, new]), np.concatenate([values, score])
     return np.concatenate(found)
 
 
@@ -182,13 +191,17 @@ class Shards:
     def __init__(self, centres: dict[tuple[str, int], np.ndarray]):
         self.centres = centres
 
+    def count(self, points: DataFrame) -> int:
+        """Shards of all labels."""
+        return sum(len(c) for c in self.centres.values()) + points.select("label", "d").distinct().count() - len(self.centres)
+
     def of(self, label: str, d: int, x: np.ndarray) -> np.ndarray:
-        """Two shard numbers within the label for each row; equal where there is one centre."""
+        """The shards of the nearest and of the second nearest centre within the label for each row; equal where there is one centre."""
         c = self.centres.get((label, d))
         if c is None or len(c) < 2:
             return np.zeros((len(x), 2), np.int64)
-        best = [np.argpartition(-(x[i : i + 1024] @ c.T), 1, axis=1)[:, :2] for i in range(0, len(x), 1024)]
-        return np.sort(np.concatenate(best), axis=1)
+        # A partition about the second place puts the nearest centre first.
+        return np.concatenate([np.argpartition(-(x[i : i + 1024] @ c.T), (0, 1), axis=1)[:, :2] for i in range(0, len(x), 1024)])
 
 
 def _dealt(shards, names: list[str]):
@@ -226,14 +239,14 @@ def _parts(x: np.ndarray, seed: int) -> list[np.ndarray]:
     return [np.flatnonzero((best == k).any(1)) for k in range(len(c))]
 
 
-def _graph(shard: list[tuple]) -> tuple[np.ndarray, list[np.ndarray]]:
+def _graph(shard: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of a shard and the united adjacency lists of its parts."""
     x = _unit([np.frombuffer(r[8], np.float64) for r in shard], shard[0][1])
     links: list[set[int]] = [set() for _ in range(len(x))]
     for part in _parts(x, SEED + int(shard[0][2])):
         for i, near in zip(part.tolist(), robust_prune(x[part]), strict=True):
             links[i].update(part[near].tolist())
-    return x, [np.fromiter(sorted(v), np.int64, len(v)) for v in links]
+    return x, padded([sorted(v) for v in links])
 
 
 def _links(shard: list[tuple], threshold: float) -> Iterator[tuple]:
@@ -245,9 +258,7 @@ def _links(shard: list[tuple], threshold: float) -> Iterator[tuple]:
     x, links = _graph(shard)
     starts = medoids(x)
     sizes = np.array([r[7] for r in shard], np.int64)
-    # Both shards of a pair are common only if the two points have the same two; the smaller then counts it.
-    both = np.array([r[3:5] for r in shard], np.int64)
-    pairs: list[np.ndarray] = []
+    both = np.array([r[3:5] for r in shard], np.int64)  # nearest and second nearest
     total = np.zeros(n, np.int64)
     root = np.arange(n)
 
@@ -258,9 +269,10 @@ def _links(shard: list[tuple], threshold: float) -> Iterator[tuple]:
         return i
 
     hits: list[set[int]] = [set() for _ in range(n)]
-    for i in range(n):
+    for i in np.flatnonzero(both[:, 0] == s).tolist():
         for j in range_search(x, links, np.union1d(starts, [i]), x[i], threshold - 1e-9).tolist():
-            if j != i:
+            # A query of another shard that has i as an answer finds it there as well: the first shard of the two counts.
+            if j != i and not (both[j, 0] < s and both[i, 1] == both[j, 0]):
                 hits[i].add(j)
                 hits[j].add(i)
     for i in range(n):
@@ -268,17 +280,14 @@ def _links(shard: list[tuple], threshold: float) -> Iterator[tuple]:
         if not len(near):
             continue
         near = near[_cosines(shard, i, near) >= threshold]
-        other = both[near]
-        earlier = (other == both[i]).all(1) & (both[i].min() < s)
-        near = near[~earlier]
         total[i] = sizes[near].sum()
         for j in near[near > i].tolist():
             a, b = top(i), top(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                pairs.append((i, j))
-    for i, j in pairs:
-        yield (*shard[j][5:7], *shard[i][5:7], 0)
+    for i in range(n):
+        if top(i) != i:  # linked to the first of its group, which is the smallest
+            yield (*shard[i][5:7], *shard[top(i)][5:7], 0)
     for i in np.flatnonzero(total).tolist():
         yield (*shard[i][5:7], None, None, int(total[i]))
 
@@ -312,7 +321,9 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     shards = _shards(points)
     shared = spark.sparkContext.broadcast(shards)
     dealt = points.select("h1", "h2", "size", "label", "d", "v").mapInArrow(_dealt(shared, ["h1", "h2", "size", "label", "d", "v"]), "label string, d int, s long, s1 long, s2 long, h1 long, h2 long, size long, v binary")
-    grouped = dealt.repartition("label", "d", "s").sortWithinPartitions("label", "d", "s")
+    # A partition for each shard: they are small in bytes and large in work, and would otherwise be put together.
+    parts = max(1, min(MOST_PARTS, shards.count(points)))
+    grouped = dealt.repartition(parts, "label", "d", "s").sortWithinPartitions("label", "d", "s")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
@@ -320,7 +331,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
             columns = list(zip(*found, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names=["a1", "a2", "b1", "b2", "n"])
 
-    links = common.stored(grouped.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, n long"), "links")
+    links = common.stored(grouped.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, n long"), "links", narrow=True)
     amounts = links.filter("b1 is null").groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.sum("n").alias("links"))
     edges = links.filter("b1 is not null").select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
     parts = components(edges).select("node.h1", "node.h2", F.struct("component.h1", "component.h2").alias("root"))
@@ -328,7 +339,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     reach = reach.join(reach.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("h1", "h2", "component_id")
     told = points.select("h1", "h2", "rep", "size").join(amounts, ["h1", "h2"], "left").join(reach, ["h1", "h2"], "left")
     told = told.filter("size > 1 or links > 0").select("h1", "h2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_id", "rep").alias("component_id"))
-    return Linked(rows.select("id", "h1", "h2"), common.stored(told, "told"))
+    return Linked(rows.select("id", "h1", "h2"), common.stored(told, "told", narrow=True))
 
 
 def _shards(points: DataFrame) -> Shards:

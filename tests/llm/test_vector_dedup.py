@@ -77,6 +77,6 @@ def test_empty(spark):
 def test_small_graphs_reach_all(n):
     x = np.random.default_rng(n).normal(size=(n, 5))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    links = [np.array(v, np.int64) for v in V.robust_prune(x)]
+    links = V.padded(V.robust_prune(x))
     got = V.range_search(x, links, V.medoids(x), x[0], -1.1)
     assert sorted(got.tolist()) == list(range(n))
