@@ -253,7 +253,8 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(distance: int, least: float):
     def verified(group: list[tuple]) -> Iterator[tuple]:
         key, bi, bj = group[0][:3]
-        unique = list({r[3:5]: r for r in group}.values())
+        # In order of the hashes, and each found line linked to the first of its group, which is the smallest.
+        unique = sorted({r[3:5]: r for r in group}.values(), key=lambda r: r[3:5])
         n = len(unique)
         keys = [frozenset(r[7]) for r in unique]
         sims = np.array([r[6] for r in unique], np.int64).view(np.uint64)
@@ -274,7 +275,7 @@ def _links(distance: int, least: float):
                     if (len(keys[at]) == 1 or min(keys[at] & keys[j]) == key) and similar(unique[at][8], unique[j][8], least):
                         fresh[j] = False
                         todo.append(j)
-                        yield (*unique[at][3:5], *unique[j][3:5])
+                        yield (*unique[i][3:5], *unique[j][3:5])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [x for group in groups(batches, 3) for x in verified(group)]
@@ -313,25 +314,25 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashed = unique.select("h1", "h2", "sim", F.explode(keys).alias("key"))
     # How many blocks a large bucket gets is estimated from a sample; the pairs found don't depend on it.
     seen = hashed.filter(F.pmod("h1", F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
-    large = common.stored(seen.filter(F.col("n") * SAMPLE > BUCKET_ROWS).select("key", F.ceil(F.col("n") * SAMPLE / BUCKET_ROWS).cast("int").alias("k")), "large")
+    large = common.stored(seen.filter(F.col("n") * SAMPLE > BUCKET_ROWS).select("key", F.ceil(F.col("n") * SAMPLE / BUCKET_ROWS).cast("int").alias("k")), "large", narrow=True)
     large = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
     sized = hashed.join(large, "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     mine = F.pmod(F.shiftright("h1", 8), F.col("k")).cast("int")
     paired = sized.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = paired.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "h1", "h2", "sim")
     dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    near = common.stored(dealt.mapInArrow(_candidates(distance), "key long, h1 long, h2 long").distinct(), "near")
+    near = common.stored(dealt.mapInArrow(_candidates(distance), "key long, h1 long, h2 long").distinct(), "near", narrow=True)
 
     # Second pass: the texts of the lines that the first has found.
     weighed = near.join(unique.select("h1", "h2", "first", "sim", "len"), ["h1", "h2"])
-    weighed = common.stored(weighed, "weighed")
+    weighed = common.stored(weighed, "weighed", narrow=True)
     kept = distinct_buckets(weighed, "len", BLOCK_ROWS, BLOCK_BYTES)
     listed = weighed.join(kept, "key").groupBy("h1", "h2", "first", "sim").agg(F.collect_list(F.struct("key", "blocks")).alias("buckets"))
     wanted = listed.groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "sim", "buckets")).alias("wanted"))
     texts = narrow.join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(_texts, "key long, bi int, bj int, h1 long, h2 long, block int, sim long, keys array<long>, line string")
     texts = texts.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     links = texts.mapInArrow(_links(distance, least), "a1 long, a2 long, b1 long, b2 long")
-    edges = common.stored(links.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b")), "edges")
+    edges = common.stored(links.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b")), "edges", narrow=True)
     parts = components(edges).select("node.h1", "node.h2", F.struct("component.h1", "component.h2").alias("root"))
 
     # The occurrence that stays, for lines that have others: equal ones or near ones.
@@ -339,8 +340,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least_place = grouped.groupBy("root").agg(F.min("first").alias("stays"))
     fuzzy = grouped.join(least_place, "root").select("h1", "h2", F.col("stays").alias("near_stays"))
     settled = unique.join(fuzzy, ["h1", "h2"], "left").filter((F.col("n") > 1) | F.col("near_stays").isNotNull()).select("h1", "h2", F.coalesce("near_stays", "first").alias("stays"))
+    # Written, so that the join shuffles both its sides for itself and can split a line that very many documents have.
+    settled = common.stored(settled, "settled", narrow=True)
     gone = lines.join(settled, ["h1", "h2"]).filter(place != F.col("stays"))
-    return common.stored(gone.groupBy("id", "th").agg(F.collect_set("pos").alias("drops")), "drops")
+    return common.stored(gone.groupBy("id", "th").agg(F.collect_set("pos").alias("drops")), "drops", narrow=True)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, **options) -> DataFrame:
