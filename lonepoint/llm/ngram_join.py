@@ -185,7 +185,8 @@ def _links(similarity: tuple[int, int]):
 
     def verified(rows: list[tuple]) -> Iterator[tuple]:
         key, bi, bj = rows[0][:3]
-        unique = list({r[3:5]: r for r in rows}.values())
+        # In order of the fingerprints, so that links lead to the smallest of a group: components() bears large stars around small nodes.
+        unique = sorted({r[3:5]: r for r in rows}.values(), key=lambda r: r[3:5])
         n = len(unique)
         if n < 2:
             return
@@ -268,7 +269,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     found = narrow.join(listed, (F.col("id") == F.col("rep")) & (F.col("th") == F.col("rep_th"))).select("text", "h1", "h2", "size", "buckets")
     members = found.mapInArrow(_members(n), "key long, bi int, bj int, h1 long, h2 long, block int, size long, buckets binary, shingles binary")
     dealt = members.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    links = common.stored(dealt.mapInArrow(_links(similarity), "a1 long, a2 long, b1 long, b2 long, n long"), "verified")
+    links = common.stored(dealt.mapInArrow(_links(similarity), "a1 long, a2 long, b1 long, b2 long, n long"), "verified", narrow=True)
 
     amounts = links.filter("b1 is null").groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.sum("n").alias("links"))
     edges = links.filter("b1 is not null").select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
@@ -278,7 +279,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     reach = grouped.join(least, "root").select("h1", "h2", "class_id")
     out = classes.drop("keys", "n").join(amounts, ["h1", "h2"], "left").join(reach, ["h1", "h2"], "left")
     out = out.select("h1", "h2", "rep", "rep_th", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("class_id", "rep").alias("class_id"))
-    return Join(signed.select("id", "th", "h1", "h2"), common.stored(out, "reach"))
+    return Join(signed.select("id", "th", "h1", "h2"), common.stored(out, "reach", narrow=True))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
