@@ -242,7 +242,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    found = common.stored(classes(docs, id_col, text_col), "classes")
+    found = common.stored(classes(docs, id_col, text_col), "classes", narrow=True)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(docs, text_col).alias("text"))
     members = texts.mapInArrow(_members, "doc_id long, cp long, len long, sha binary")
     # A digest of two different strings would be two classes: the join below would then multiply rows, so this fails instead.

@@ -133,7 +133,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     blocks = blocks.withColumn("inside", F.coalesce(F.sum("words").over(inner), F.lit(0)))
     b, g = blocks.alias("b"), groups.alias("g")
     first = b.join(g, F.col("b.k1").eqNullSafe(F.col("g.k1")) & (F.col("b.g") == F.col("g.g"))).select(F.col("b.k1").alias("s"), F.col("b.block").alias("at"), "words", (F.col("inside") + F.col("base")).alias("begin"))
-    first = common.stored(first, "blocks")
+    first = common.stored(first, "blocks", narrow=True)
 
     local = Window.partitionBy("k1", "block").orderBy("o", "k0", "th").rowsBetween(Window.unboundedPreceding, -1)
     docs_out = placed.join(first.select("s", "at", "begin"), F.col("k1").eqNullSafe(F.col("s")) & (F.col("block") == F.col("at"))).select("k0", "k1", "th", "size", "o", "block", (F.col("begin") + F.coalesce(F.sum("size").over(local), F.lit(0))).alias("start"))

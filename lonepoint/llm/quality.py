@@ -252,7 +252,7 @@ def _training(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> Model:
     """The driver gets the features of at most `most` documents' lines."""
     common.prepare(docs.sparkSession)
-    sample = common.stored(training_rows(labels, "quality", most, id_col), "sample")
+    sample = common.stored(training_rows(labels, "quality", most, id_col), "sample", narrow=True)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(docs, text_col).alias("text"))
     # Ids should be unique; where they repeat, more rows than `most` might come.
     rows = texts.join(F.broadcast(sample), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("h")).dropDuplicates(["h"]).select("text", "y")

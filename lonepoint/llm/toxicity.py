@@ -302,12 +302,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = np.zeros(ALPHABET**3, np.int64)
     counts[[r.cell for r in cells]] = [r.n for r in cells]
 
-    sample = common.stored(training_rows(labels, "toxic", most, id_col), "sample")
+    sample = common.stored(training_rows(labels, "toxic", most, id_col), "sample", narrow=True)
     half = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int")
     labelled = texts.join(F.broadcast(sample), "doc_id").select("text", "y", half.alias("half"))
     words = labelled.mapInArrow(_word_rows, "word string, " + ", ".join(f"{c} long" for c in FOLDS))
     table = words.groupBy("word").agg(*(F.sum(c).alias(c) for c in FOLDS)).filter((F.col("n1a") + F.col("n1b") >= MIN_DOCS) | (F.col("word") == ""))
-    table = common.stored(table, "words")
+    table = common.stored(table, "words", narrow=True)
     lexicon = _lexicon(table, ("a", "b"))
     if not lexicon:
         common.discard(table)
