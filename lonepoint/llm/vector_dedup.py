@@ -92,52 +92,57 @@ def centres_of(x: np.ndarray, k: int, seed: int = SEED, rounds: int = 6) -> np.n
     return c
 
 
+def _nearest(x: np.ndarray, part: np.ndarray, most: int) -> np.ndarray:
+    """For each point its nearest ones of a part, itself perhaps among them, in no order."""
+    m = min(most, len(part))
+    out = np.empty((len(x), m), np.int64)
+    for i in range(0, len(x), 512):
+        out[i : i + 512] = part[np.argpartition(-(x[i : i + 512] @ x[part].T), m - 1, axis=1)[:, :m]]
+    return out
+
+
+def _pruned(x: np.ndarray, rows: np.ndarray, these: np.ndarray, degree: int, alpha: float) -> list[list[int]]:
+    """What robust pruning leaves of each row's candidates, at most `degree`, the nearest first. A point's own place and repeats are no candidates."""
+    out: list[list[int]] = []
+    for i in range(0, len(rows), 128):
+        row, near = rows[i : i + 128], these[i : i + 128]
+        own = 2 - 2 * np.einsum("bd,bmd->bm", x[row], x[near])
+        own[near == row[:, None]] = np.inf
+        order = np.argsort(own, axis=1, kind="stable")
+        near, own = np.take_along_axis(near, order, 1), np.take_along_axis(own, order, 1)
+        points = x[near]
+        between = alpha * (2 - 2 * (points @ points.transpose(0, 2, 1)))
+        alive, keep, count = np.isfinite(own), np.zeros(own.shape, bool), np.zeros(len(row), np.int64)
+        for j in range(near.shape[1]):
+            chosen = alive[:, j] & (count < degree)
+            keep[:, j] = chosen
+            count += chosen
+            alive &= ~(chosen[:, None] & (between[:, j] <= own))
+        out += [n[k].tolist() for n, k in zip(near, keep, strict=True)]
+    return out
+
+
 def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[list[int]]:
     """For each point the neighbours left of its nearest candidates: a candidate goes if one already chosen is nearer to it, by the
     slack, than the point is; then links both ways, pruned again where they are too many. Distances are squared chords."""
     n = len(x)
-    out: list[list[int]] = [[] for _ in range(n)]
     if n < 2:
-        return out
-    # Of all points, and of ever smaller random parts: the nearest points of a dense group are all its own, and only the
-    # sparser parts lead out of it and into it.
+        return [[] for _ in range(n)]
+    rows = np.arange(n)
+    near = _pruned(x, rows, _nearest(x, rows, candidates + 1), degree - degree // 4, alpha)
+    # And of ever smaller random parts: the nearest points of a dense group are all its own, and only the sparser parts lead out of
+    # it and into it.
     order = np.random.default_rng(SEED).permutation(n)
-    near: list[list[np.ndarray]] = [[] for _ in range(n)]
-    for size, most in ((n, candidates), (n // 4, candidates // 4), (n // 16, candidates // 8), (n // 64, candidates // 8)):
-        part = np.sort(order[:size])
-        if size < 2 or most < 1:
-            continue
-        m = min(most, size)
-        for i in range(0, n, 512):
-            s = x[i : i + 512] @ x[part].T
-            for k, row in enumerate(np.argpartition(-s, m - 1, axis=1)[:, :m]):
-                these = part[row]
-                near[i + k].append(these[these != i + k])
-
-    def pruned(i: int, these: np.ndarray) -> list[int]:
-        own = 2 - 2 * (x[these] @ x[i])
-        order = np.argsort(own, kind="stable")
-        these, own = these[order], own[order]
-        between = 2 - 2 * (x[these] @ x[these].T)
-        alive, chosen = np.ones(len(these), bool), []
-        for j in range(len(these)):
-            if alive[j]:
-                chosen.append(int(these[j]))
-                if len(chosen) == degree:
-                    break
-                alive &= alpha * between[j] > own
-        return chosen
-
-    for i in range(n):
-        wide = pruned(i, np.unique(np.concatenate(near[i][1:])))[: degree // 3] if len(near[i]) > 1 else []
-        out[i] = list(dict.fromkeys(pruned(i, near[i][0])[: degree - degree // 4] + wide))
+    sparse = [_nearest(x, np.sort(order[: n // k]), most) for k, most in ((4, candidates // 4), (16, candidates // 8), (64, candidates // 8)) if n // k >= 2 and most]
+    wide = _pruned(x, rows, np.concatenate(sparse, axis=1), degree // 3, alpha) if sparse else near
+    out = [list(dict.fromkeys(a + b)) for a, b in zip(near, wide, strict=True)]
     back: list[list[int]] = [[] for _ in range(n)]
     for i, links in enumerate(out):
         for j in links:
             back[j].append(i)
     for i in range(n):
         both = list(dict.fromkeys(out[i] + back[i]))
-        out[i] = both if len(both) <= 2 * degree else pruned(i, np.array(both, np.int32)) + back[i][:degree]
+        out[i] = both if len(both) <= 2 * degree else list(dict.fromkeys(_pruned(x, rows[i : i + 1], np.array([both]), degree, alpha)[0] + back[i][:degree]))
     return out
 
 
@@ -336,7 +341,8 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     edges = links.filter("b1 is not null").select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
     parts = components(edges).select("node.h1", "node.h2", F.struct("component.h1", "component.h2").alias("root"))
     reach = points.select("h1", "h2", "rep").join(parts, ["h1", "h2"])
-    reach = reach.join(reach.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("h1", "h2", "component_id")
+    least = common.stored(reach.groupBy("root").agg(F.min("rep").alias("component_id")), "least", narrow=True)
+    reach = reach.join(least, "root").select("h1", "h2", "component_id")
     told = points.select("h1", "h2", "rep", "size").join(amounts, ["h1", "h2"], "left").join(reach, ["h1", "h2"], "left")
     told = told.filter("size > 1 or links > 0").select("h1", "h2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_id", "rep").alias("component_id"))
     return Linked(rows.select("id", "h1", "h2"), common.stored(told, "told", narrow=True))
