@@ -337,7 +337,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # The occurrence that stays, for lines that have others: equal ones or near ones.
     grouped = unique.select("h1", "h2", "first").join(parts, ["h1", "h2"])
-    least_place = grouped.groupBy("root").agg(F.min("first").alias("stays"))
+    least_place = common.stored(grouped.groupBy("root").agg(F.min("first").alias("stays")), "stays", narrow=True)
     fuzzy = grouped.join(least_place, "root").select("h1", "h2", F.col("stays").alias("near_stays"))
     settled = unique.join(fuzzy, ["h1", "h2"], "left").filter((F.col("n") > 1) | F.col("near_stays").isNotNull()).select("h1", "h2", F.coalesce("near_stays", "first").alias("stays"))
     # Written, so that the join shuffles both its sides for itself and can split a line that very many documents have.
