@@ -275,7 +275,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     edges = links.filter("b1 is not null").select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
     parts = components(edges).select("node.h1", "node.h2", F.struct("component.h1", "component.h2").alias("root"))
     grouped = classes.select("h1", "h2", "rep").join(parts, ["h1", "h2"])
-    least = grouped.groupBy("root").agg(F.min("rep").alias("class_id"))
+    least = common.stored(grouped.groupBy("root").agg(F.min("rep").alias("class_id")), "least", narrow=True)
     reach = grouped.join(least, "root").select("h1", "h2", "class_id")
     out = classes.drop("keys", "n").join(amounts, ["h1", "h2"], "left").join(reach, ["h1", "h2"], "left")
     out = out.select("h1", "h2", "rep", "rep_th", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("class_id", "rep").alias("class_id"))
