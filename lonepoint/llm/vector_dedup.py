@@ -1,18 +1,21 @@
 """Embedding near-dedup by a robust-pruned flat graph (operator 10).
 
 Vectors are compared only under equal labels. Equal vectors are one point with a number of members. Each label's points are dealt
-to clusters around centres from a bounded sample, each point to the two nearest ones; the clusters of a label are the
-overlapping shards, of about SHARD points, and a cluster that gets more is dealt anew around centres of its own. A shard
-builds its graph: each point is linked to the neighbours that robust pruning leaves of its nearest CANDIDATES, both ways.
-Adjacency lists of a point from its shards are united, and the search in a shard runs over the united lists. A
-range-expanding greedy search starts at the shard's medoids, walks the graph to the query's region with a beam and then
-grows over all neighbours that are within the range or near it. Every point is a query in the shard of its nearest centre, where
-its own links are a start as well, and an answer in both of its shards. What
-the search finds is verified by cosine in double precision.
-
-A pair found counts for both its points, once: where both are queries of one shard, or each is an answer in the other's, the
-first of these shards counts it. Shards hand on counts and a spanning forest, never the
-pairs. audit() measures recall against brute force for stated queries (ids divisible by 100) over all rows.
+to cells around centres from a bounded sample, each point to that of its nearest centre; a cell of more than twice SHARD points
+is several blocks, by hash. A block builds its graph: each point is linked to the neighbours that robust pruning leaves of
+its nearest CANDIDATES, both ways. A range-expanding greedy search for each of its points starts at the block's medoids and at
+the point's own links, walks the graph to the query's region with a beam and then grows over all neighbours that are within the
+range or near it.
+
+Links between blocks are found without a graph: a point also goes to each pair of its block and another one whose cell can hold
+a vector within the threshold of it. That is so unless the point lies farther than the threshold's angle from the plane between
+the two centres, so no link is lost, however dense a group is and however many centres it has. A pair of blocks is a task of
+bounded memory, which compares all that it got of one with all of the other. Vectors without clusters lie near most of these
+planes, and then the pairs of blocks are nearly all there are: the price is quadratic in a label.
+
+What is found is verified by cosine in double precision. A pair of points is in one pair of blocks only, so it counts once. Tasks
+hand on counts and a spanning forest, never the pairs. audit() measures recall against brute force for stated queries (ids
+divisible by 100) over all rows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
 nothing. Vectors of different dimensions under one label link with nothing of another dimension. Repeated ids are rows
@@ -33,12 +36,14 @@ from lonepoint.llm import common
 from lonepoint.llm.graph import components, groups
 
 THRESHOLD = 0.93
-#: Points of a shard, about; nearest points that pruning chooses from; links it leaves; its slack; beam of the greedy walk and points it walks from at once; medoids.
+#: Points of a block, about; nearest points that pruning chooses from; links it leaves; its slack; beam of the greedy walk and points it walks from at once; medoids.
 SHARD, CANDIDATES, DEGREE, ALPHA, BEAM, STEP, MEDOIDS = 1500, 40, 24, 1.15, 16, 6, 8
 #: Below the threshold by this much, a point still carries the search on.
 SLACK = 0.12
 #: Vectors of a label from which its centres are taken, at most; centres compared at once.
 CENTRE_SAMPLE, MOST_CENTRES, MOST_PARTS, SEED = 1 << 15, 4096, 20_000, 11
+#: Rows that dealing points to pairs of blocks makes at once; cosines nearer to the threshold than this are computed again from the vectors as they are.
+DEALT_ROWS, UNSURE = 50_000, 1e-9
 NO_ID = (1 << 63) - 1
 
 
@@ -49,6 +54,11 @@ def _unit(vectors: list, dims: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _vectors(raw: Iterable[bytes], dims: int) -> list[np.ndarray]:
+    """Vectors from their bytes, of floats where these say all, else of doubles."""
+    return [np.frombuffer(v, np.float64 if len(v) == 8 * dims else np.float32).astype(np.float64) for v in raw]
+
+
 def _usable(vector) -> bool:
     return vector is not None and len(vector) > 0 and all(v is not None for v in vector) and bool(np.isfinite(v := np.asarray(vector, float)).all()) and bool((v != 0).any())
 
@@ -57,7 +67,7 @@ _POINTS = "id long, label string, d int, usable boolean, h1 long, h2 long, v bin
 
 
 def _points(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their vector as bytes of doubles, and 128 bits of the hash of label and vector; without these where it can't link."""
+    """Rows with their vector as bytes (see _vectors), and 128 bits of the hash of label and vector; without these where it can't link."""
     import hashlib
 
     for batch in batches:
@@ -67,10 +77,13 @@ def _points(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if label is None or not _usable(v):
                 rows.append((i, label, None, False, None, None, None))
                 continue
-            raw = (np.asarray(v, np.float64) + 0.0).tobytes()  # -0.0 is 0.0
+            x = np.asarray(v, np.float64) + 0.0  # -0.0 is 0.0
+            raw = x.tobytes()
             digest = hashlib.blake2b(f"{label}\0".encode() + raw, digest_size=16).digest()
             h1, h2 = np.frombuffer(digest, np.int64).tolist()
-            rows.append((i, label, len(v), True, h1, h2, raw))
+            with np.errstate(over="ignore", under="ignore"):
+                short = x.astype(np.float32)
+            rows.append((i, label, len(v), True, h1, h2, short.tobytes() if (short == x).all() else raw))
         types = [pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
         names = ["id", "label", "d", "usable", "h1", "h2", "v"]
         columns = zip(*rows, strict=True) if rows else [[]] * 7
@@ -190,117 +203,114 @@ def medoids(x: np.ndarray, k: int = MEDOIDS, seed: int = SEED) -> np.ndarray:
     return np.unique(np.concatenate([(x @ middle.T).argmax(0), (x @ centres_of(x, k, seed, 2).T).argmax(0)]))
 
 
-class Shards:
-    """Centres by label and dimension; deals vectors to the shards of the two nearest."""
+class Blocks:
+    """Centres by label and dimension with the number of blocks of each one's cell; deals vectors to pairs of blocks."""
 
-    def __init__(self, centres: dict[tuple[str, int], np.ndarray]):
-        self.centres = centres
+    def __init__(self, centres: dict[tuple[str, int], np.ndarray], threshold: float):
+        self.centres, self.sin = centres, np.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else np.inf
+        self.several: dict[tuple[str, int], np.ndarray] = {k: np.ones(len(c), np.int64) for k, c in centres.items()}
 
-    def count(self, points: DataFrame) -> int:
-        """Shards of all labels."""
-        return sum(len(c) for c in self.centres.values()) + points.select("label", "d").distinct().count() - len(self.centres)
+    def cells(self, label: str, d: int, x: np.ndarray) -> np.ndarray:
+        """The nearest centre of each row."""
+        c = self.centres[label, d]
+        return np.concatenate([(x[i : i + 1024] @ c.T).argmax(1) for i in range(0, len(x), 1024)])
 
-    def of(self, label: str, d: int, x: np.ndarray) -> np.ndarray:
-        """The shards of the nearest and of the second nearest centre within the label for each row; equal where there is one centre."""
+    def of(self, label: str, d: int, x: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, their own block, and a block that may hold something within the threshold of them; each row with its own block as well."""
         c = self.centres.get((label, d))
-        if c is None or len(c) < 2:
-            return np.zeros((len(x), 2), np.int64)
-        # A partition about the second place puts the nearest centre first.
-        return np.concatenate([np.argpartition(-(x[i : i + 1024] @ c.T), (0, 1), axis=1)[:, :2] for i in range(0, len(x), 1024)])
-
-
-def _dealt(shards, names: list[str]):
-    """Points with a row for each of their shards: s is the shard, s1 and s2 both of them."""
+        if c is None:
+            yield np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+            return
+        several = self.several[label, d]
+        first, cell_of = np.cumsum(several) - several, np.repeat(np.arange(len(c)), several)
+        step = max(1, min(1024, DEALT_ROWS // len(cell_of)))
+        for i in range(0, len(x), step):
+            score = x[i : i + step] @ c.T
+            cell = score.argmax(1)
+            # How far the point lies from the plane between its centre and each other one, times the distance of these.
+            above = score.max(1)[:, None] - score
+            apart = np.sqrt(np.maximum(0.0, ((c * c).sum(1)[cell][:, None] + (c * c).sum(1)[None] - 2 * c[cell] @ c.T)))
+            reached = above <= self.sin * apart + 1e-6 if np.isfinite(self.sin) else np.ones(above.shape, bool)
+            row, block = np.nonzero(reached[:, cell_of])
+            own = first[cell] + h[i : i + step] % several[cell]
+            yield row + i, own[row], block
+
+
+def _dealt(blocks, names: list[str]):
+    """Points with a row for each pair of blocks: s1 and s2 are the pair, the smaller first, own is the point's own block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shards.value
+        table = blocks.value
         for batch in batches:
-            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
-            rows = []
+            cols = {n: batch.column(i) for i, n in enumerate(names)}
+            v, h1 = cols["v"].to_pylist(), cols["h1"].to_numpy()
             by: dict[tuple[str, int], list[int]] = {}
-            for i, key in enumerate(zip(cols["label"], cols["d"], strict=True)):
+            for i, key in enumerate(zip(cols["label"].to_pylist(), cols["d"].to_pylist(), strict=True)):
                 by.setdefault(key, []).append(i)
             for (label, d), at in by.items():
-                x = _unit([np.frombuffer(cols["v"][i], np.float64) for i in at], d)
-                for i, (a, b) in zip(at, table.of(label, d, x).tolist(), strict=True):
-                    for s in {a, b}:
-                        rows.append((label, d, s, a, b, *(cols[n][i] for n in ("h1", "h2", "size", "v"))))
-            types = [pa.string(), pa.int32(), *[pa.int64()] * 6, pa.binary()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 9
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["label", "d", "s", "s1", "s2", "h1", "h2", "size", "v"])
+                here = np.array(at)
+                for row, own, block in table.of(label, d, _unit(_vectors([v[i] for i in at], d), d), h1[here] >> 8 & 0xFFFFFFFF):
+                    taken = pa.array(here[row])
+                    pair = [pa.array(x) for x in (np.minimum(own, block), np.maximum(own, block), own)]
+                    columns = [cols["label"].take(taken), cols["d"].take(taken), *pair, *(cols[n].take(taken) for n in ("h1", "h2", "size", "v"))]
+                    yield pa.record_batch(columns, names=["label", "d", "s1", "s2", "own", "h1", "h2", "size", "v"])
 
     return run
 
 
-def _parts(x: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Sub-shards of a shard that got too many points: around centres of its own, each point in the two nearest; halved until they fit."""
-    if len(x) <= 3 * SHARD:
-        return [np.arange(len(x))]
-    rng = np.random.default_rng(seed)
-    c = centres_of(x[rng.permutation(len(x))[: 8 * SHARD]], -(-len(x) // SHARD), seed)
-    if len(c) < 2:
-        return [np.arange(len(x))]
-    best = np.concatenate([np.argpartition(-(x[i : i + 1024] @ c.T), 1, axis=1)[:, :2] for i in range(0, len(x), 1024)])
-    return [np.flatnonzero((best == k).any(1)) for k in range(len(c))]
-
-
-def _graph(shard: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of a shard and the united adjacency lists of its parts."""
-    x = _unit([np.frombuffer(r[8], np.float64) for r in shard], shard[0][1])
-    links: list[set[int]] = [set() for _ in range(len(x))]
-    for part in _parts(x, SEED + int(shard[0][2])):
-        for i, near in zip(part.tolist(), robust_prune(x[part]), strict=True):
-            links[i].update(part[near].tolist())
-    return x, padded([sorted(v) for v in links])
-
-
-def _links(shard: list[tuple], threshold: float) -> Iterator[tuple]:
-    """Counts and a spanning forest of the links that the shard's search finds and this shard is the first to hold."""
-    shard = sorted({r[5:7]: r for r in shard}.values(), key=lambda r: r[5:7])
-    n, s = len(shard), shard[0][2]
+def _searched(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Which points of a block the graph's search links."""
+    links, starts = padded(robust_prune(x)), medoids(x)
+    hits = np.zeros((len(x), len(x)), bool)
+    for i in range(len(x)):
+        hits[i, range_search(x, links, np.union1d(starts, [i]), x[i], threshold - UNSURE)] = True
+    np.fill_diagonal(hits, False)
+    return hits | hits.T
+
+
+def _compared(x: np.ndarray, own: np.ndarray, threshold: float) -> np.ndarray:
+    """Which points of two blocks are linked to one of the other block."""
+    a, b = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
+    hits = np.zeros((len(x), len(x)), bool)
+    for i in range(0, len(a) if len(b) else 0, 512):
+        hits[np.ix_(a[i : i + 512], b)] = x[a[i : i + 512]] @ x[b].T >= threshold - UNSURE
+    return hits | hits.T
+
+
+def _links(group: list[tuple], threshold: float) -> Iterator[tuple]:
+    """Counts and a spanning forest of the links within a block, or between two."""
+    group = sorted({r[5:7]: r for r in group}.values(), key=lambda r: r[5:7])
+    (label, d, s1, s2), n = group[0][:4], len(group)
     if n < 2:
         return
-    x, links = _graph(shard)
-    starts = medoids(x)
-    sizes = np.array([r[7] for r in shard], np.int64)
-    both = np.array([r[3:5] for r in shard], np.int64)  # nearest and second nearest
-    total = np.zeros(n, np.int64)
-    root = np.arange(n)
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    hits: list[set[int]] = [set() for _ in range(n)]
-    for i in np.flatnonzero(both[:, 0] == s).tolist():
-        for j in range_search(x, links, np.union1d(starts, [i]), x[i], threshold - 1e-9).tolist():
-            # A query of another shard that has i as an answer finds it there as well: the first shard of the two counts.
-            if j != i and not (both[j, 0] < s and both[i, 1] == both[j, 0]):
-                hits[i].add(j)
-                hits[j].add(i)
-    for i in range(n):
-        near = np.array(sorted(hits[i]), np.int64)
-        if not len(near):
-            continue
-        near = near[_cosines(shard, i, near) >= threshold]
-        total[i] = sizes[near].sum()
-        for j in near[near > i].tolist():
-            a, b = top(i), top(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    for i in range(n):
-        if top(i) != i:  # linked to the first of its group, which is the smallest
-            yield (*shard[i][5:7], *shard[top(i)][5:7], 0)
+    vectors = _vectors([r[8] for r in group], d)
+    x = _unit(vectors, d)
+    hits = _searched(x, threshold) if s1 == s2 else _compared(x, np.array([r[4] for r in group], np.int64), threshold)
+    for i in np.flatnonzero(hits.any(1)).tolist():
+        near = i + 1 + np.flatnonzero(hits[i, i + 1 :])
+        unsure = near[x[near] @ x[i] < threshold + UNSURE]
+        if len(unsure):
+            wrong = unsure[_cosines(vectors, i, unsure) < threshold]
+            hits[i, wrong] = hits[wrong, i] = False
+    sizes = np.array([r[7] for r in group], np.float64)
+    total = np.concatenate([hits[i : i + 512] @ sizes for i in range(0, n, 512)])
+    seen = np.zeros(n, bool)
     for i in np.flatnonzero(total).tolist():
-        yield (*shard[i][5:7], None, None, int(total[i]))
-
-
-def _cosines(shard: list[tuple], i: int, near: np.ndarray) -> np.ndarray:
+        if not seen[i]:  # each of a group is linked to its first, which is the smallest
+            seen[i] = True
+            todo = [i]
+            while todo:
+                near = hits[todo.pop()] & ~seen
+                seen |= near
+                for j in np.flatnonzero(near).tolist():
+                    yield (*group[j][5:7], *group[i][5:7], 0)
+                    todo.append(j)
+        yield (*group[i][5:7], None, None, int(total[i]))
+
+
+def _cosines(vectors: list[np.ndarray], i: int, near: np.ndarray) -> np.ndarray:
     """Cosines in double precision of the vectors as they are: sums of products in order of components, over the root of the squares."""
-    a = np.frombuffer(shard[i][8], np.float64)
-    b = np.frombuffer(b"".join(shard[j][8] for j in near.tolist()), np.float64).reshape(len(near), -1)
+    a, b = vectors[i], np.array([vectors[j] for j in near.tolist()])
     dot, aa, bb = ((p.cumsum(1)[:, -1]) for p in (b * a, (a * a)[None], b * b))
     with np.errstate(all="ignore"):
         out = dot / (np.sqrt(aa) * np.sqrt(bb))
@@ -323,15 +333,16 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     rows = common.stored(inner.mapInArrow(_points, _POINTS), "rows")
     points = rows.filter("usable").groupBy("h1", "h2").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("rep"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("d").alias("d"), F.first("v").alias("v"))
     points = common.stored(points, "points")
-    shards = _shards(points)
-    shared = spark.sparkContext.broadcast(shards)
-    dealt = points.select("h1", "h2", "size", "label", "d", "v").mapInArrow(_dealt(shared, ["h1", "h2", "size", "label", "d", "v"]), "label string, d int, s long, s1 long, s2 long, h1 long, h2 long, size long, v binary")
-    # A partition for each shard: they are small in bytes and large in work, and would otherwise be put together.
-    parts = max(1, min(MOST_PARTS, shards.count(points)))
-    grouped = dealt.repartition(parts, "label", "d", "s").sortWithinPartitions("label", "d", "s")
+    blocks = _blocks(points, threshold)
+    shared = spark.sparkContext.broadcast(blocks)
+    dealt = points.select("h1", "h2", "size", "label", "d", "v").mapInArrow(_dealt(shared, ["h1", "h2", "size", "label", "d", "v"]), "label string, d int, s1 long, s2 long, own long, h1 long, h2 long, size long, v binary")
+    # Two partitions for each block: pairs of blocks are small in bytes and large in work, and would otherwise be put together.
+    count = sum(int(v.sum()) for v in blocks.several.values()) + points.select("label", "d").distinct().count() - len(blocks.several)
+    parts = max(1, min(MOST_PARTS, 2 * count))
+    grouped = dealt.repartition(parts, "label", "d", "s1", "s2").sortWithinPartitions("label", "d", "s1", "s2")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 3):
+        for group in groups(batches, 4):
             found = list(_links(group, threshold))
             columns = list(zip(*found, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names=["a1", "a2", "b1", "b2", "n"])
@@ -348,9 +359,9 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     return Linked(rows.select("id", "h1", "h2"), common.stored(told, "told", narrow=True))
 
 
-def _shards(points: DataFrame) -> Shards:
-    """Centres for each label and dimension, from at most CENTRE_SAMPLE of its points and for at most MOST_CENTRES shards; a shard
-    beyond its size is dealt anew by the task that has it. The driver gets counts by label and the samples, a label at a time."""
+def _blocks(points: DataFrame, threshold: float) -> Blocks:
+    """Centres for each label and dimension, from at most CENTRE_SAMPLE of its points and at most MOST_CENTRES, and the blocks of their
+    cells. The driver gets counts by label and by cell, and the samples, a label at a time."""
     counts = points.groupBy("label", "d").agg(F.count("*").alias("n")).collect()
     out = {}
     for label, d, n in sorted((r.label, r.d, r.n) for r in counts):
@@ -359,8 +370,31 @@ def _shards(points: DataFrame) -> Shards:
             most = min(CENTRE_SAMPLE, 16 * k)
             share = max(1, n // (2 * most))
             sample = points.filter((F.col("label") == label) & (F.col("d") == d) & (F.pmod("h1", F.lit(share)) == 0)).orderBy("h1", "h2").limit(most).select("v").collect()
-            out[label, d] = centres_of(_unit([np.frombuffer(bytes(r.v), np.float64) for r in sample], d), k) if len(sample) > 1 else None
-    return Shards({k: v for k, v in out.items() if v is not None})
+            # Without a sample one cell holds the label, and its blocks are by hash alone.
+            out[label, d] = centres_of(_unit(_vectors([bytes(r.v) for r in sample], d), d), k) if sample else np.eye(1, d)
+    blocks = Blocks(out, threshold)
+    if out:
+        shared = points.sparkSession.sparkContext.broadcast(blocks)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[tuple[str, int], np.ndarray] = {}
+            for batch in batches:
+                by: dict[tuple[str, int], list[bytes]] = {}
+                for label, d, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (label, d) in shared.value.centres:
+                        by.setdefault((label, d), []).append(v)
+                for (label, d), raw in by.items():
+                    cells = shared.value.cells(label, d, _unit(_vectors(raw, d), d))
+                    found[label, d] = found.get((label, d), 0) + np.bincount(cells, minlength=len(shared.value.centres[label, d]))
+            rows = [(label, d, c, n) for (label, d), v in found.items() for c, n in enumerate(v.tolist()) if n]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            types = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["label", "d", "cell", "n"])
+
+        cells = points.select("label", "d", "v").mapInArrow(run, "label string, d int, cell long, n long")
+        for r in cells.groupBy("label", "d", "cell").agg(F.sum("n").alias("n")).collect():
+            blocks.several[r.label, r.d][r.cell] = -(-r.n // SHARD) if r.n > 2 * SHARD else 1
+    return blocks
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", **options) -> DataFrame:
@@ -399,8 +433,8 @@ def audit(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id", vector_
                     mine.setdefault((label, d), []).append((i, v))
                 for key, these in mine.items():
                     if asked := by.get(key):
-                        x = _unit([np.frombuffer(v, np.float64) for _, v in these], key[1])
-                        q = _unit([np.frombuffer(a[3], np.float64) for a in asked], key[1])
+                        x = _unit(_vectors([v for _, v in these], key[1]), key[1])
+                        q = _unit(_vectors([a[3] for a in asked], key[1]), key[1])
                         close = (q @ x.T) >= threshold
                         for a, n in zip(asked, close.sum(1).tolist(), strict=True):
                             counts[a[0]] = counts.get(a[0], 0) + n

@@ -63,6 +63,22 @@ def test_recall_over_many_shards(spark, monkeypatch):
     assert all(got[d] <= want[d] for d in want) and found >= 0.9 * total
 
 
+@pytest.mark.parametrize("group", [60, 300, 900])
+def test_large_groups_of_near_copies_are_whole(spark, monkeypatch, group):
+    """A dense group gets many centres; up to a third of a label, and one that hash blocks split as well."""
+    monkeypatch.setattr(V, "SHARD", 60)
+    rng = np.random.default_rng(group)
+    base = rng.normal(size=24)
+    near = 5 * base / np.linalg.norm(base) + rng.normal(size=(group, 24)) * 0.2
+    x = np.concatenate([near, rng.normal(size=(2 * group, 24)), rng.normal(size=24) + rng.normal(size=(150, 24)) * 1e-3]).astype(np.float32)
+    unit = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    assert want[:group].mean() > 0.9 * group
+    frame = spark.createDataFrame([(i, v.tolist(), 1, 5) for i, v in enumerate(x)], SCHEMA)
+    got = {r.vec_id: r.n_links for r in V.near_duplicates(frame).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
 def test_audit(spark):
     frame = spark.createDataFrame([(*r, 5) for r in corpus(3)], SCHEMA)
     r = V.audit(frame, V.near_duplicates(frame), every=3).head()
