@@ -79,6 +79,24 @@ def test_large_groups_of_near_copies_are_whole(spark, monkeypatch, group):
     assert [got[i] for i in range(len(x))] == want.tolist()
 
 
+def test_every_link_has_its_pair_of_blocks():
+    """Whichever centres two points share or not, both go to the pair of their own blocks, which is one."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(400, 16)), 3, axis=0) + rng.normal(size=(1200, 16)) * 0.2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    blocks = V.Blocks({("a", 16): V.centres_of(x, 40)}, 0.93)
+    blocks.several["a", 16][::7] = 3
+    own, pairs = np.zeros(len(x), np.int64), [set() for _ in x]
+    for row, mine, other in blocks.of("a", 16, x, np.arange(len(x))):
+        own[row] = mine
+        for i, a, b in zip(row.tolist(), mine.tolist(), other.tolist(), strict=True):
+            pairs[i].add((min(a, b), max(a, b)))
+    linked = np.argwhere(np.triu(x @ x.T >= 0.93, 1)).tolist()
+    assert sum(own[i] != own[j] for i, j in linked) > 100
+    for i, j in linked:
+        assert (min(own[i], own[j]), max(own[i], own[j])) in pairs[i] & pairs[j]
+
+
 def test_audit(spark):
     frame = spark.createDataFrame([(*r, 5) for r in corpus(3)], SCHEMA)
     r = V.audit(frame, V.near_duplicates(frame), every=3).head()
