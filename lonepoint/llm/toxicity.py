@@ -167,8 +167,8 @@ class Restorer:
             got = self.seen[token] = decode(token, self.model)
         return got
 
-    def restored(self, text: str, words: set[str], known: frozenset[str]) -> set[str]:
-        """What the disguised words of a lower-case text read; words: the plain ones. Of letters set apart only known words count."""
+    def restored(self, text: str, words: set[str], known: frozenset[str], lengths: list[int]) -> set[str]:
+        """What the disguised words of a lower-case text read; words: the plain ones. Of letters set apart only known words, of these lengths, count."""
         out = set()
         if _UNSEEN.search(text):
             out.update(_WORD.findall(_UNSEEN.sub("", text)))
@@ -187,7 +187,7 @@ class Restorer:
         for token in {m.group() for m in _APART.finditer(text)}:
             whole = self.read(token)
             # Several words set apart, one after the other, read as one: each stretch of it may be a word.
-            out.update(known.intersection(whole[i:j] for i in range(len(whole)) for j in range(i + 3, min(len(whole), i + 20) + 1)))
+            out.update(known.intersection(whole[i : i + n] for n in lengths for i in range(len(whole) - n + 1)))
         return out
 
 
@@ -204,6 +204,7 @@ class Scorer:
 
     def __init__(self, counts: np.ndarray, lexicon: dict[str, float]):
         self.restorer, self.lexicon, self.known = Restorer(counts), lexicon, frozenset(lexicon)
+        self.lengths = sorted({len(w) for w in lexicon if len(w) > 2 and w[-1] != "-"})
         self.stems = [(n, frozenset(w[:-1] for w in lexicon if len(w) == n + 1 and w[-1] == "-")) for n in STEMS]
 
     def hits(self, words: set[str]) -> set[str]:
@@ -218,7 +219,7 @@ class Scorer:
         low = (text or "").lower()
         words = set(_WORD.findall(low))
         hits = self.hits(words)
-        extra = self.hits(self.restorer.restored(low, words, self.known)) - hits if self.known else ()
+        extra = self.hits(self.restorer.restored(low, words, self.known, self.lengths)) - hits if self.known else ()
         odds = sorted((self.lexicon[w] for w in (*hits, *extra)), reverse=True)
         size = math.log1p(len(words))
         return [sum(odds[:30]), odds[0] if odds else 0.0, math.log1p(len(odds)), len(odds) / (1 + size), size, sum(odds) / math.sqrt(1 + len(words))]

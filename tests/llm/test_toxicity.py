@@ -40,6 +40,14 @@ def test_disguises_are_read(text):
     assert s.features("a house river 12 e-mail 3.5 o'clock www")[1] == 0.0
 
 
+def test_long_words_set_apart_are_read():
+    word = "unausstehlichkeitsbeauftragter"
+    s = T.Scorer(model((word,)), {w: 5.0 for w in [*BAD, word]})
+    assert len(word) > 20
+    for mark in (" ", ".", "-"):
+        assert s.features("a house " + mark.join(word) + " river")[1] == 5.0
+
+
 def corpus(n=1600):
     rng = random.Random(8)
     words = [a + b for a in ("riv", "sto", "hou", "gre", "lat", "mor", "wal") for b in ("er", "ne", "se", "en", "ing", "ked")]
