@@ -45,6 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Shuffle partitions whose rows a narrow table has in one file.
 FEWER = 16
+#: Hadoop's local file system starts three programs for each file that it makes, to set permissions of it and of its checksums, and
+#: each has the executor's memory for a moment; without checksums it is one. Other file systems take no notice of these options.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def stored(df: DataFrame, name: str = "t", narrow: bool = False) -> DataFrame:
@@ -57,7 +60,7 @@ def stored(df: DataFrame, name: str = "t", narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // FEWER))
     path = f"{shared_dir(spark)}/lonepoint-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -11,7 +11,7 @@ memory. Tasks count links and hand on a spanning forest of them, never the pairs
 for each task. Links between classes carry the numbers of their members; copies are not expanded into pairs.
 
 Defined results: texts without words (null, empty, white space) link with nothing and are classes of their own. Null ids
-come after all others as representatives. Repeated rows are copies of each other. Extra columns are ignored. Empty
+(and the largest long) come after all others as representatives. Repeated rows are copies of each other. Extra columns are ignored. Empty
 tables give an empty result.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonepoint.llm import common
@@ -293,15 +293,23 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with their columns as they are, that stay: of each group of linked ones the row with the smallest id."""
+    """The rows of docs, with their columns as they are, that stay: of each group of linked ones the row with the smallest id.
+
+    Of repeated rows (equal id and text) one stays, that with the smallest hash of its columns; maps don't count for it.
+    """
     j = join(docs, id_col, text_col, **options)
-    # Rows that go: all of a class but one, and all of a class that isn't the group's first.
-    dropped = j.classes.filter("size > 1 or links > 0").select("h1", "h2", F.col("rep").alias("_lp_rep"), F.col("rep_th").alias("_lp_rep_th"), (F.col("rep") == F.col("class_id")).alias("_lp_first"))
-    verdict = j.texts.join(dropped, ["h1", "h2"])
-    stays = F.col("_lp_first") & (F.col("id") == F.col("_lp_rep")) & (F.col("th") == F.col("_lp_rep_th"))
-    verdict = verdict.groupBy(F.col("id").alias("_lp_id"), F.col("th").alias("_lp_th")).agg(F.max(stays).alias("_lp_stays"))
+    told = j.classes.filter("size > 1 or links > 0").select("h1", "h2", "rep", "rep_th", (F.col("rep") == F.col("class_id")).alias("first"))
+    stays = F.col("first") & (F.col("id") == F.col("rep")) & (F.col("th") == F.col("rep_th"))
+    verdict = j.texts.join(told, ["h1", "h2"]).groupBy(F.col("id").alias("_lp_id"), F.col("th").alias("_lp_th")).agg(F.max(stays).alias("_lp_stays"), F.count("*").alias("_lp_n"))
+    # Rows that go, and those that stay once but are there several times.
+    verdict = common.stored(verdict.filter("not _lp_stays or _lp_n > 1"), "verdict", narrow=True)
     keyed = docs.withColumns({"_lp_i": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_lp_h": common.row_hash(common.text_of(docs, text_col))})
-    joined = keyed.join(verdict, (F.col("_lp_i") == F.col("_lp_id")) & (F.col("_lp_h") == F.col("_lp_th")), "left")
-    # Repeated rows of the one that stays are its copies.
-    again = F.row_number().over(Window.partitionBy("_lp_i", "_lp_h").orderBy(F.lit(0)))
-    return joined.filter(F.coalesce("_lp_stays", F.lit(True))).withColumn("_lp_n", F.when(F.col("_lp_stays"), again).otherwise(1)).filter("_lp_n = 1").select(*docs.columns)
+    on = (F.col("_lp_i") == F.col("_lp_id")) & (F.col("_lp_h") == F.col("_lp_th"))
+    out = keyed.join(verdict, on, "left_anti").select(*docs.columns)
+    again = verdict.filter("_lp_stays")
+    if again.isEmpty():
+        return out
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    hashed = F.xxhash64(*(F.col(c) for c, t in docs.dtypes if "map<" not in t))
+    repeated = keyed.join(again, on, "left_semi").groupBy("_lp_i", "_lp_h").agg(F.min_by(F.struct(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True))), hashed).alias("r"))
+    return out.unionByName(repeated.select(*(F.col(f"r.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True))))

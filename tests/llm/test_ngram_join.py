@@ -63,6 +63,16 @@ def test_one_of_each_group_stays(frame):
     assert sorted(set(want)) == ids
 
 
+def test_one_of_many_repeated_rows_stays(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, i % 3, {"a": i}) for i in range(900)] + [(2, text, 0, {}), (3, None, 0, {}), (3, None, 1, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int, extra map<string,int>").repartition(5)
+    got = J.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(kept, key=str) == [(1, text), (3, None), (3, None)]
+
+
 def test_empty(frame):
     assert J.near_duplicates(frame([])).count() == 0 and J.keep_one(frame([])).count() == 0
 
