@@ -9,8 +9,9 @@ presence in toxic against other documents, and a logistic regression over these
 
 The character model counts trigrams over all documents; the driver gets at most ALPHABET^3 sums. Words that tell toxic
 documents weigh in it with LEXICON_SHARE, so that the model knows what disguises tend to hide. Labels come from at most
-TRAIN_DOCS labelled rows outside the held-out part, those with the smallest hash of the id. They make the lexicon
-of at most LEXICON entries; the regression is fitted to scores by the lexicons of the other half of them.
+TRAIN_DOCS labelled rows outside the held-out part, those with the smallest hash of the id, which bounds the lexicon: its entries are in
+MIN_DOCS toxic documents of these or more. The regression is fitted to scores by the lexicons of the other half of them. Scoring has no
+bounds: tokens of any length are decoded whole, in time that grows with them, and all entries of a text count.
 
 Defined results: null and empty texts have no words and get the score of a text without any; null labels and ids
 without a document teach nothing, a repeated label counts once, as toxic if any of its rows is; repeated rows get
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lonepoint.llm import common
 
-TRAIN_DOCS, LEXICON, MIN_DOCS, MIN_ODDS, LEXICON_SHARE = 30_000, 20_000, 4, 1.5, 0.2
+TRAIN_DOCS, MIN_DOCS, MIN_ODDS, LEXICON_SHARE = 30_000, 4, 1.5, 0.2
 
 # Letters of the character model; whatever else ends a word.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß"
@@ -53,16 +54,17 @@ STEMS = (3, 4, 5, 6, 7)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.escape("".join(c for c in STANDS_FOR if not c.isalpha()))
-#: Words with something that stands for a letter next to a letter; the symbols that only trail or lead are cut off later.
-_MIXED = re.compile(rf"(?:[^\W\d_]+[{_SYMBOLS}]+|[{_SYMBOLS}]+[^\W\d_]+)(?:[^\W\d_]|[{_SYMBOLS}])*")
+#: Runs of letters and symbols, of which those with both are words with something that stands for a letter; possessive, so that no run is read twice.
+_RUN = re.compile(rf"(?:[^\W\d_]|[{_SYMBOLS}])++")
+_LETTER, _SYMBOL = re.compile(r"[^\W\d_]"), re.compile(rf"[{_SYMBOLS}]")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*~'·,/]{1,2}(?:[^\W_]|[@$!|])){2,}(?![^\W_])")
 _THRICE = re.compile(r"(\w)\1\1")
-_JOINED = re.compile(r"[^\W\d_]+(?:[.\-_*~·­​-‍⁠﻿]+[^\W\d_]+)+")
+_JOINED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[.\-_*~·­​-‍⁠﻿]++[^\W\d_]++)++")
 _FOREIGN = re.compile(r"[а-яіѕјα-ω]")
-_EDGE = re.compile(r"^([*#%&$!|+])\1{2,}|([*#%&$!|+])\2{2,}$")
+_EDGES = "*#%&$!|+"
 _UNSEEN = re.compile("[­​-‏⁠﻿]")
-#: Decoded disguises that a worker remembers.
-REMEMBERED = 200_000
+#: Decoded disguises that a worker remembers, and their length at most.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 100
 
 _CLASS = np.zeros(0x250, np.int32)
 for _i, _c in enumerate(LETTERS):
@@ -128,13 +130,22 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+#: Steps after which the readings that are left are looked through for what they share.
+SETTLE = 256
+
+
 def decode(token: str, model: CharacterModel) -> str:
-    """The likeliest reading of the token's lattice, from a word's begin to its end."""
+    """The likeliest reading of the token's lattice, from a word's begin to its end; of equal ones the first found.
+
+    Readings are chains of (the chain before, letters). What all that are left share is settled every so many steps, so a token of
+    any length needs little memory beside its own.
+    """
     log = model.log
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    settled: list[str] = []
+    for step, options in enumerate(lattice(token), 1):
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, chain) in best.items():
             for letters, cost in options:
                 x, y, s = a, b, score + cost
                 for c in letters:
@@ -142,14 +153,68 @@ def decode(token: str, model: CharacterModel) -> str:
                     s += log[x][y][z]
                     x, y = y, z
                 old = new.get((x, y))
-                if old is None or s > old[0] or s == old[0] and text + letters < old[1]:
-                    new[x, y] = (s, text + letters)
+                if old is None or s > old[0]:
+                    new[x, y] = (s, (chain, letters) if letters else chain)
         best = new
-    return max(((s + log[x][y][0], text) for (x, y), (s, text) in best.items()), key=lambda v: (v[0], v[1]), default=(0, ""))[1]
+        if step % SETTLE == 0:
+            best = _settle(best, settled)
+    if not best:
+        return ""
+    (_, _), (_, chain) = max(best.items(), key=lambda v: v[1][0] + log[v[0][0]][v[0][1]][0])
+    return "".join([*settled, *_letters(chain)])
+
+
+def _letters(chain: tuple | None) -> list[str]:
+    out = []
+    while chain is not None:
+        chain, letters = chain
+        out.append(letters)
+    return out[::-1]
+
+
+def _settle(best: dict, settled: list[str]) -> dict:
+    """Move what all chains begin with to settled. Scores only count against each other, so they begin anew from 0."""
+    chains = {k: _links(chain) for k, (_, chain) in best.items()}
+    some = next(iter(chains.values()))
+    same = min(map(len, chains.values()))
+    while same and any(c[same - 1] is not some[same - 1] for c in chains.values()):
+        same -= 1
+    settled += [x[1] for x in some[:same]]
+    top = max(score for score, _ in best.values())
+    out = {}
+    rebuilt: dict[int, tuple] = {}
+    for k, (score, _) in best.items():
+        chain = None
+        for link in chains[k][same:]:
+            # Links that chains share stay shared.
+            chain = rebuilt.setdefault(id(link), (chain, link[1]))
+        out[k] = (score - top, chain)
+    return out
+
 
+def _links(chain: tuple | None) -> list[tuple]:
+    out = []
+    while chain is not None:
+        out.append(chain)
+        chain = chain[0]
+    return out[::-1]
 
-#: Longer stretches than this hold no word; they are read in parts, all of them.
-PART = 48
+
+def mixed(text: str) -> Iterator[str]:
+    """Runs of letters and of symbols that stand for letters, with both in them."""
+    for m in _RUN.finditer(text):
+        token = m.group()
+        if _SYMBOL.search(token) and _LETTER.search(token):
+            yield token
+
+
+def cut_edges(token: str) -> str:
+    """Without runs of three or more of one symbol at its ends."""
+    while token and (c := token[0]) in _EDGES and token.startswith(c * 3):
+        token = token.lstrip(c)
+    while token and (c := token[-1]) in _EDGES and token.endswith(c * 3):
+        token = token.rstrip(c)
+    return token
 
 
 class Restorer:
@@ -157,9 +222,8 @@ class Restorer:
         self.model, self.seen = CharacterModel(counts), {}
 
     def read(self, token: str) -> str:
-        return "".join([self._part(token[i : i + PART]) for i in range(0, len(token), PART)])
-
-    def _part(self, token: str) -> str:
+        if len(token) > LONGEST_REMEMBERED:
+            return decode(token, self.model)
         got = self.seen.get(token)
         if got is None:
             if len(self.seen) >= REMEMBERED:
@@ -174,14 +238,13 @@ class Restorer:
             out.update(_WORD.findall(_UNSEEN.sub("", text)))
         # Most tokens are plain words with a mark or two at the ends, which no pattern needs to look at.
         odd = "\n".join(t for t in set(text.split()) if not t.strip(MARKS).isalpha())
-        found = {m.group() for pattern in (_MIXED, _JOINED) for m in pattern.finditer(odd)} if odd else set()
+        found = {*mixed(odd), *(m.group() for m in _JOINED.finditer(odd))} if odd else set()
         if _THRICE.search(text):
             found.update(w for w in words if _THRICE.search(w))
         if _FOREIGN.search(text):
             found.update(w for w in words if _FOREIGN.search(w))
         for token in found:
-            while (cut := _EDGE.sub("", token)) != token:
-                token = cut
+            token = cut_edges(token)
             if len(token) > 2 and not token.isdigit() and not (token.isalpha() and token.isascii() and not _THRICE.search(token)):
                 out.add(self.read(token))
         for token in {m.group() for m in _APART.finditer(text)}:
@@ -222,7 +285,7 @@ class Scorer:
         extra = self.hits(self.restorer.restored(low, words, self.known, self.lengths)) - hits if self.known else ()
         odds = sorted((self.lexicon[w] for w in (*hits, *extra)), reverse=True)
         size = math.log1p(len(words))
-        return [sum(odds[:30]), odds[0] if odds else 0.0, math.log1p(len(odds)), len(odds) / (1 + size), size, sum(odds) / math.sqrt(1 + len(words))]
+        return [math.log1p(sum(odds)), odds[0] if odds else 0.0, math.log1p(len(odds)), len(odds) / (1 + size), size, sum(odds) / math.sqrt(1 + len(words))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,8 +353,8 @@ def _lexicon(table: DataFrame, folds: tuple[str, ...]) -> dict[str, float]:
         return {}
     odds = F.log((n1 + 0.5) / (base[0].d1 - n1 + 0.5)) - F.log((n0 + 0.5) / (base[0].d0 - n0 + 0.5))
     known = table.filter(F.col("word") != "").select("word", odds.alias("odds"), n1.alias("n1"))
-    ranked = known.filter((F.col("odds") >= MIN_ODDS) & (F.col("n1") >= MIN_DOCS)).orderBy(F.desc(F.col("odds") * F.log1p("n1")), "word").limit(LEXICON)
-    return {r.word: r.odds for r in ranked.collect()}
+    telling = known.filter((F.col("odds") >= MIN_ODDS) & (F.col("n1") >= MIN_DOCS))
+    return {r.word: r.odds for r in telling.collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS):

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -48,6 +49,54 @@ def test_long_words_set_apart_are_read():
         assert s.features("a house " + mark.join(word) + " river")[1] == 5.0
 
 
+def whole(token, m):
+    """Viterbi with the texts themselves as readings."""
+    best = {(0, 0): (0.0, "")}
+    for options in T.lattice(token):
+        new = {}
+        for (a, b), (score, text) in best.items():
+            for letters, cost in options:
+                x, y, s = a, b, score + cost
+                for c in letters:
+                    s += m.log[x][y][T._INDEX[c]]
+                    x, y = y, T._INDEX[c]
+                if (x, y) not in new or s > new[x, y][0]:
+                    new[x, y] = (s, text + letters)
+        best = new
+    return max(((s + m.log[x][y][0], t) for (x, y), (s, t) in best.items()), key=lambda v: v[0])[1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_long_tokens_are_read_whole(seed, monkeypatch):
+    monkeypatch.setattr(T, "SETTLE", [3, 16, 50][seed % 3])
+    rng = random.Random(seed)
+    m = T.CharacterModel(model())
+    token = "".join(rng.choice("mor0n1c.*dre@fu!w-st") for _ in range(400))
+    assert T.decode(token, m) == whole(token, m)
+
+
+@pytest.mark.parametrize("long", ["x" * 60 + "m0r0nic" + "x" * 60, "river" * 30 + "." + "m.0.r.0.n.i.c"])
+def test_disguises_within_long_tokens(long):
+    r = T.Restorer(model())
+    assert any("moronic" in w for w in r.restored(long, set(T._WORD.findall(long)), frozenset(["moronic"]), [7]))
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + "~", "ab" * 500_000 + "~b", "a" + "*" * 1_000_000 + "a", "a" * 1_000_000 + "@", "a." * 500_000, "é" * 1_000_000, "a!" * 50_000, "*" * 1_000_000, "9" * 1_000_000 + "a", "a b " * 100_000])
+def test_time_grows_with_the_token(text):
+    s = T.Scorer(model(), {w: 5.0 for w in BAD})
+    begun = time.perf_counter()
+    s.features(text)
+    took = time.perf_counter() - begun
+    assert took < 15, took
+
+
+def test_all_hits_count():
+    many = {f"bad{chr(97 + i // 26)}{chr(97 + i % 26)}": 3.0 for i in range(300)}
+    s = T.Scorer(model(), many)
+    some, more = (s.features(" ".join(list(many)[:n])) for n in (40, 300))
+    assert more[0] > some[0] and more[2] > some[2]
+
+
 def corpus(n=1600):
     rng = random.Random(8)
     words = [a + b for a in ("riv", "sto", "hou", "gre", "lat", "mor", "wal") for b in ("er", "ne", "se", "en", "ing", "ked")]
