@@ -4,16 +4,19 @@ Sizes count the words of each text. A source's documents are put in an order dra
 epoch is all blocks once. A source takes whole epochs and then the blocks at the front of its order until the target
 is met, so what it takes differs from the target by less than a document. The blocks taken are shared out among output
 shards by a splitting tree: each node halves its shards and draws how many of each source's blocks go left from the
-multivariate hypergeometric distribution, so that the quotas of all leaves add up exactly. Each shard gets a range of
-its own of each source's permuted blocks and puts their documents in random order. All draws come from the seed and
-the node, none from the layout of the data, so reruns agree.
+multivariate hypergeometric distribution, so that the quotas of all leaves add up exactly. Each shard draws a range of
+its own of each source's permuted blocks, and its documents are put in an order by a random key. All draws come from the seed and
+the node, none from the layout of the data, so reruns agree. amounts() tells the shards and keys of every document; mix() returns
+the documents of a shard together and in its order.
 
-The driver holds numbers by source and shard only, at most MAX_QUOTAS of them. Blocks have about BLOCK_DOCS documents,
-so a source with a third of all rows is many blocks and many tasks.
+The driver holds numbers by source and shard only, at most MAX_QUOTAS of them; more sources than that are an error, and with
+many sources shards are larger than SHARD_WORDS. Blocks have about BLOCK_DOCS documents, so a source with a third of all rows is many
+blocks and many tasks.
 
 Defined results: a null text has size 0 and is taken 0 times; null is a source of its own and the last one; a source
-without words gets target 0; repeated rows are documents of their own with one hash between them, ordered side by side;
-an empty table gives an empty result. Columns of docs that clash with names used here are left alone by mix().
+without words gets target 0. Repeated rows (equal id, text and source) are documents of their own that lie side by side: they are
+counted, and a cut among them takes so many of them, which differ in nothing that the mix knows (if other columns differ, which of them
+go is not defined). An empty table gives an empty result. Columns of docs that clash with names used here are left alone by mix().
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonepoint.llm import common
 
 WEIGHTS, MOST = (5, 2, 1), 3
-SEED, BLOCK_DOCS, SHARD_WORDS, MAX_QUOTAS = 20240229, 512, 1 << 24, 1 << 20
+SEED, BLOCK_DOCS, SHARD_WORDS, MAX_QUOTAS = 20240229, 512, 1 << 21, 1 << 20
+#: Rows that a table by source or shard may have to be broadcast; copies of a repeated row that one row of a plan turns into.
+SMALL, CHUNK = 10_000, 4096
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -82,113 +87,164 @@ def _draw(rng: np.random.Generator, have: np.ndarray, n: int) -> np.ndarray:
     return got
 
 
-_SIZES = "k0 long, k1 string, th long, size long"
+_SIZES = "k0 long, k1 string, th long, size long, n long"
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bytes.split() cuts at the six characters of [\\x20\\x09-\\x0D] and no others."""
+    """Words by row, repeated rows of a batch as one with their number. bytes.split() cuts at the six characters of [\\x20\\x09-\\x0D] and no others."""
     for batch in batches:
-        words = [len(x.split()) if x else 0 for x in batch.column(3).cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([*batch.columns[:3], pa.array(words, pa.int64())], names=["k0", "k1", "th", "size"])
+        rows: dict[tuple, list[int]] = {}
+        for *key, x in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+            if (known := rows.get(k := tuple(key))) is not None:
+                known[1] += 1
+            else:
+                rows[k] = [len(x.split()) if x else 0, 1]
+        columns = [list(c) for c in zip(*((*k, *v) for k, v in rows.items()), strict=True)] or [[]] * 5
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["k0", "k1", "th", "size", "n"])
 
 
 class Mix:
-    """docs: id (k0), source (k1), th (with the id, tells rows apart), size, start (words of the source before it, by the order drawn), block.
-    plan: source, epoch, block, shard, cut (words of the source that this epoch takes). totals: source, source_size, target."""
+    """rows: k0 (id), k1 (source), th (hash of the text), size, n (rows that are equal in these), sid (the source's number), block and takes, a list
+    of (epoch, shard, t): so many of the n are taken for this shard. totals: sid, source_size, target. shards: their number."""
 
-    def __init__(self, docs: DataFrame, plan: DataFrame, totals: DataFrame):
-        self.docs, self.plan, self.totals = docs, plan, totals
+    def __init__(self, rows: DataFrame, totals: DataFrame, shards: int, seed: int):
+        self.rows, self.totals, self.shards, self.seed = rows, totals, shards, seed
 
-    def taken(self) -> DataFrame:
-        """A row for each document and shard that takes it: the columns of docs, epoch and shard."""
-        d, p = self.docs.alias("d"), self.plan.alias("p")
-        on = F.col("d.k1").eqNullSafe(F.col("p.source")) & (F.col("d.block") == F.col("p.block"))
-        return d.join(p, on).filter((F.col("d.size") > 0) & (F.col("d.start") * 2 + F.col("d.size") <= F.col("p.cut") * 2)).select("d.*", "p.epoch", "p.shard")
+    def key(self, shard: Column, epoch: Column) -> Column:
+        """The order within a shard."""
+        return F.xxhash64(F.lit(self.seed + 2), shard, "k0", "th", epoch)
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> Mix:
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for a broadcast if it has few rows; else Spark joins by a shuffle."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shard_words: int = SHARD_WORDS) -> Mix:
     spark = docs.sparkSession
     common.prepare(spark)
     text = common.text_of(docs, text_col)
     narrow = docs.select(F.col(id_col).cast("long").alias("k0"), F.col(source_col).cast("string").alias("k1"), common.row_hash(text).alias("th"), text.alias("text"))
     sized = common.stored(narrow.mapInArrow(_count, _SIZES), "sizes")
-    by_source = sized.groupBy("k1").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_QUOTAS).collect()
+    by_source = sized.groupBy("k1").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).limit(MAX_QUOTAS).collect()
     if len(by_source) >= MAX_QUOTAS:
         raise ValueError(f"over {MAX_QUOTAS} sources")
     sources = sorted(((r.k1, r["size"], r.n) for r in by_source), key=lambda x: (x[0] is None, x[0] or ""))
     target = targets([x[:2] for x in sources], weights, most)
 
     # The order within a source: by a hash of the row, cut into blocks of equal ranges of it.
-    counts = spark.createDataFrame([(s, max(1, -(-n // BLOCK_DOCS))) for s, _, n in sources], "s string, blocks long")
+    counts = spark.createDataFrame([(s, k, max(1, -(-n // BLOCK_DOCS))) for k, (s, _, n) in enumerate(sources)], "s string, sid int, blocks long")
     order = F.xxhash64(F.lit(seed), "k0", "th")
     # 31 bits of the hash, scaled: block = floor(bits * blocks / 2^31).
-    placed = sized.join(F.broadcast(counts), F.col("k1").eqNullSafe(F.col("s"))).select("k0", "k1", "th", "size", order.alias("o"), F.floor(F.shiftrightunsigned(order, 33) * F.col("blocks") / F.lit(float(1 << 31))).cast("long").alias("block"))
-    blocks = placed.groupBy("k1", "block").agg(F.sum("size").alias("words"))
+    block = F.floor(F.shiftrightunsigned(order, 33) * F.col("blocks") / F.lit(float(1 << 31))).cast("long")
+    placed = sized.join(_small(counts, len(sources)), F.col("k1").eqNullSafe(F.col("s"))).select("k0", "k1", "th", "size", "n", "sid", order.alias("o"), block.alias("block"))
+    blocks = placed.groupBy("sid", "block").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     # The running sum over blocks, with a row for each block of up to BLOCK_DOCS documents, in two levels of up to 1024 blocks.
-    group = F.floor(F.col("block") / 1024)
-    inner = Window.partitionBy("k1", "g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("k1").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("g", group)
-    groups = blocks.groupBy("k1", "g").agg(F.sum("words").alias("all_words")).withColumn("base", F.coalesce(F.sum("all_words").over(outer), F.lit(0))).drop("all_words")
+    inner = Window.partitionBy("sid", "g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("sid").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("g", F.floor(F.col("block") / 1024))
+    bases = blocks.groupBy("sid", "g").agg(F.sum("words").alias("all_words")).withColumn("base", F.coalesce(F.sum("all_words").over(outer), F.lit(0))).drop("all_words")
     blocks = blocks.withColumn("inside", F.coalesce(F.sum("words").over(inner), F.lit(0)))
-    b, g = blocks.alias("b"), groups.alias("g")
-    first = b.join(g, F.col("b.k1").eqNullSafe(F.col("g.k1")) & (F.col("b.g") == F.col("g.g"))).select(F.col("b.k1").alias("s"), F.col("b.block").alias("at"), "words", (F.col("inside") + F.col("base")).alias("begin"))
-    first = common.stored(first, "blocks", narrow=True)
-
-    local = Window.partitionBy("k1", "block").orderBy("o", "k0", "th").rowsBetween(Window.unboundedPreceding, -1)
-    docs_out = placed.join(first.select("s", "at", "begin"), F.col("k1").eqNullSafe(F.col("s")) & (F.col("block") == F.col("at"))).select("k0", "k1", "th", "size", "o", "block", (F.col("begin") + F.coalesce(F.sum("size").over(local), F.lit(0))).alias("start"))
+    first = common.stored(blocks.join(bases, ["sid", "g"]).select("sid", "block", "words", (F.col("inside") + F.col("base")).alias("begin")), "blocks", narrow=True)
 
     # A source's blocks that each epoch takes, whole or in part.
-    epochs = [(s, e, max(0.0, min(float(size), target[s] - e * size))) for s, size, _ in sources for e in range(most) if size and target[s] - e * size > 0]
-    wanted = spark.createDataFrame(epochs or [(None, 0, 0.0)], "s2 string, epoch int, cut double")
-    draws = first.join(F.broadcast(wanted), F.col("s").eqNullSafe(F.col("s2")) & (F.col("begin") < F.col("cut")) & (F.col("words") > 0))
-    have = {r.s: r.n for r in draws.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    epochs = [(k, e, max(0.0, min(float(size), target[s] - e * size))) for k, (s, size, _) in enumerate(sources) for e in range(most) if size and target[s] - e * size > 0]
+    wanted = spark.createDataFrame(epochs or [(-1, 0, 0.0)], "sid int, epoch int, cut double")
+    draws = first.filter("words > 0").join(_small(wanted, len(epochs)), "sid").filter("begin < cut").select("sid", "block", "epoch", "cut")
+    have = {r.sid: r.n for r in draws.groupBy("sid").agg(F.count("*").alias("n")).collect()}
     shards = 1
-    while shards * SHARD_WORDS < sum(target.values()) and shards * 2 * max(1, len(sources)) <= MAX_QUOTAS:
+    while shards * shard_words < sum(target.values()) and shards * 2 * max(1, len(sources)) <= MAX_QUOTAS:
         shards *= 2
-    names = [s for s, _, _ in sources]
-    quota = splitting_tree([have.get(s, 0) for s in names], shards, seed)
-    ends = quota.cumsum(0)
-    ranges = [(s, i, int(ends[i, k] - quota[i, k]), int(ends[i, k])) for k, s in enumerate(names) for i in range(shards) if quota[i, k]]
-    table = spark.createDataFrame(ranges or [(None, 0, 0, 0)], "s3 string, shard int, low long, high long")
-    # Block instances by rank in an order of their own: a random permutation that shards cut into disjoint ranges.
-    mixed = F.xxhash64(F.lit(seed + 1), "s", "at", "epoch")
-    instances = draws.select("s", "at", "epoch", "cut", mixed.alias("r"))
-    ranked = _ranks(instances)
-    plan = ranked.join(table, F.col("s").eqNullSafe(F.col("s3")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select(F.col("s").alias("source"), "epoch", F.col("at").alias("block"), "shard", "cut")
-    totals = spark.createDataFrame([(s, size, target[s]) for s, size, _ in sources], "source string, source_size long, target double")
-    return Mix(docs_out, plan, totals)
+    quota = splitting_tree([have.get(k, 0) for k in range(len(sources))], shards, seed)
+    # Block instances by rank in an order of their own: a random permutation that shards cut into disjoint ranges. A range is listed under
+    # the stretches of ranks that it lies in, so that the join finds it by equality.
+    ends, ranges, step = quota.cumsum(0), [], {}
+    for k in have:
+        step[k] = max(1, have[k] // shards)
+        for i in np.flatnonzero(quota[:, k]).tolist():
+            low, high = int(ends[i, k] - quota[i, k]), int(ends[i, k])
+            ranges += [(k, stretch, i, low, high) for stretch in range(low // step[k], (high - 1) // step[k] + 1)]
+    table = spark.createDataFrame(ranges or [(-1, 0, 0, 0, 0)], "sid int, stretch long, shard int, low long, high long")
+    steps = spark.createDataFrame(list(step.items()) or [(-1, 1)], "sid int, step long")
+    ranked = _ranks(draws.withColumn("r", F.xxhash64(F.lit(seed + 1), "sid", "block", "epoch")))
+    ranked = ranked.join(_small(steps, len(step)), "sid").withColumn("stretch", F.floor(F.col("rank") / F.col("step")))
+    drawn = ranked.join(_small(table, len(ranges)), ["sid", "stretch"]).filter("rank >= low and rank < high")
+    # A block's epochs, at most `most` of them.
+    drawn = drawn.groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "cut"))).alias("cuts"))
+    cuts = common.stored(first.join(drawn, ["sid", "block"], "left").select("sid", "block", "begin", "cuts"), "cuts", narrow=True)
+
+    # Rows that are equal share a block, so that one dealing by block serves grouping, running sums and the join.
+    same = placed.repartition("sid", "block").groupBy("sid", "block", "o", "k0", "k1", "th", "size").agg(F.sum("n").alias("n"))
+    local = Window.partitionBy("sid", "block").orderBy("o", "k0", "th").rowsBetween(Window.unboundedPreceding, -1)
+    same = same.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("n")).over(local), F.lit(0)))
+    start = F.col("begin") + F.col("before")
+    # The c-th of equal rows begins at start + c * size, and is taken where its middle lies before the cut.
+    t = lambda cut: F.greatest(F.lit(0), F.least(F.col("n"), F.floor((2 * cut - 2 * start + F.col("size")) / (2 * F.col("size"))).cast("long")))
+    takes = F.filter(F.transform(F.coalesce("cuts", F.array()), lambda c: F.struct(c["epoch"].alias("epoch"), c["shard"].alias("shard"), t(c["cut"]).alias("t"))), lambda x: x["t"] > 0)
+    none = F.array().cast("array<struct<epoch:int,shard:int,t:bigint>>")
+    rows = same.join(cuts, ["sid", "block"]).select("k0", "k1", "th", "size", "n", "sid", "block", F.when(F.col("size") > 0, takes).otherwise(none).alias("takes"))
+    totals = spark.createDataFrame([(k, size, target[s]) for k, (s, size, _) in enumerate(sources)], "sid int, source_size long, target double")
+    return Mix(common.stored(rows, "rows"), _small(totals, len(sources)), shards, seed)
 
 
 def _ranks(instances: DataFrame) -> DataFrame:
     """rank: the place in its source by r, from 0; first by 1024 ranges of r, then within each, so that no source is one task."""
     x = instances.withColumn("part", F.shiftrightunsigned("r", 54))
-    counts = x.groupBy("s", "part").agg(F.count("*").alias("n"))
-    before = counts.select(F.col("s").alias("s4"), F.col("part").alias("part4"), F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("s", "part").orderBy("r", "at", "epoch")) - 1
-    return x.withColumn("inside", inside).join(before, F.col("s").eqNullSafe(F.col("s4")) & (F.col("part") == F.col("part4"))).withColumn("rank", F.col("inside") + F.col("before"))
+    counts = x.groupBy("sid", "part").agg(F.count("*").alias("n"))
+    before = counts.select("sid", "part", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("sid", "part").orderBy("r", "block", "epoch")) - 1
+    return x.withColumn("inside", inside).join(before, ["sid", "part"]).withColumn("rank", F.col("inside") + F.col("before"))
 
 
 def amounts(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken and the number of times it is taken."""
+    """One row per row of docs: doc_id, size, source_size, target, taken, the number of times it is taken, and for each time the
+    shard and the key that orders it there."""
     m = plan_mix(docs, **options)
-    # A block's epochs, at most `most` of them.
-    cuts = m.plan.groupBy("source", "block").agg(F.collect_list("cut").alias("cuts"))
-    d, c, t = m.docs.alias("d"), cuts.alias("c"), F.broadcast(m.totals).alias("t")
-    times = F.when(F.col("d.size") > 0, F.size(F.filter(F.coalesce("c.cuts", F.array().cast("array<double>")), lambda x: F.col("d.start") * 2 + F.col("d.size") <= x * 2))).otherwise(0)
-    joined = d.join(c, F.col("d.k1").eqNullSafe(F.col("c.source")) & (F.col("d.block") == F.col("c.block")), "left").join(t, F.col("d.k1").eqNullSafe(F.col("t.source")))
-    return joined.select(F.col("d.k0").alias("doc_id"), F.col("d.size").alias("size"), "t.source_size", "t.target", (times * F.col("d.size")).cast("long").alias("taken"), times.cast("int").alias("times"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED, place: bool = False) -> DataFrame:
-    """The mixed rows with the columns of docs, each as often as it is taken; place adds _lp_shard and _lp_place, the order within the shard."""
-    m = plan_mix(docs, id_col, source_col, text_col, seed)
-    # Rows with equal id and text are one row to the plan's join: as many of them as there are must not multiply.
-    taken = m.taken().dropDuplicates(["k0", "th", "k1", "epoch"]).select(F.col("k0").alias("_lp_id"), F.col("th").alias("_lp_th"), F.col("k1").alias("_lp_source"), F.col("epoch").alias("_lp_epoch"), F.col("shard").alias("_lp_shard"))
-    keyed = docs.withColumns({"_lp_h": common.row_hash(common.text_of(docs, text_col))})
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_lp_id")) & (F.col("_lp_h") == F.col("_lp_th")) & F.col(source_col).cast("string").eqNullSafe(F.col("_lp_source"))
-    out = keyed.join(taken, on)
-    if place:
-        inside = F.row_number().over(Window.partitionBy("_lp_shard").orderBy(F.xxhash64(F.lit(seed + 2), "_lp_shard", "_lp_id", "_lp_th", "_lp_epoch"), "_lp_id", "_lp_th", "_lp_epoch"))
-        out = out.withColumn("_lp_place", inside)
-    return out.select(*docs.columns, *(["_lp_shard", "_lp_place"] if place else []))
+    rows = m.rows.join(m.totals, "sid")
+    # A row that is repeated very often is several rows first, dealt to as many tasks.
+    many = rows.filter(F.col("n") > CHUNK).withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK)))).repartition("k0", "th", "c")
+    many = many.withColumn("copy", F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col("n"), (F.col("c") + 1) * CHUNK) - 1))).drop("c")
+    few = rows.filter(F.col("n") <= CHUNK).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    each = few.unionByName(many).withColumn("own", F.filter("takes", lambda x: x["t"] > F.col("copy")))
+    times = F.size("own")
+    return each.select(
+        F.col("k0").alias("doc_id"), "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times"),
+        F.transform("own", lambda x: x["shard"]).alias("shards"), F.transform("own", lambda x: m.key(x["shard"], x["epoch"])).alias("order_keys"),
+    )
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: bool = False, **options) -> DataFrame:
+    """The mixed rows with the columns of docs, each as often as it is taken; the rows of a shard lie together, in the order of their keys.
+    shards adds _lp_shard and _lp_key."""
+    m = plan_mix(docs, id_col, source_col, text_col, **options)
+    takes = F.transform("takes", lambda x: F.struct(x["shard"].alias("shard"), m.key(x["shard"], x["epoch"]).alias("key"), x["t"].alias("t")))
+    some = m.rows.filter(F.size("takes") > 0).select(F.col("k0").alias("_lp_id"), F.col("k1").alias("_lp_source"), F.col("th").alias("_lp_th"), F.col("n").alias("_lp_n"), takes.alias("_lp_takes"))
+    keyed = docs.withColumns({"_lp_i": F.col(id_col).cast("long"), "_lp_h": common.row_hash(common.text_of(docs, text_col)), "_lp_s": F.col(source_col).cast("string")})
+    on = F.col("_lp_i").eqNullSafe(F.col("_lp_id")) & (F.col("_lp_h") == F.col("_lp_th")) & F.col("_lp_s").eqNullSafe(F.col("_lp_source"))
+
+    def taken(chosen: DataFrame) -> DataFrame:
+        return keyed.join(chosen, on).withColumn("_lp_x", F.explode("_lp_takes"))
+
+    out = taken(some).filter(F.col("_lp_x.t") == F.col("_lp_n"))
+    # Of at most one repeated row of each source the cut takes some only.
+    cut = some.filter(F.exists("_lp_takes", lambda x: x["t"] < F.col("_lp_n")))
+    if not cut.isEmpty():
+        out = out.unionByName(_first_of(taken(cut).filter(F.col("_lp_x.t") < F.col("_lp_n"))))
+    out = out.withColumns({"_lp_shard": F.col("_lp_x.shard"), "_lp_key": F.col("_lp_x.key"), "_lp_piece": F.shiftrightunsigned("_lp_x.key", 60)})
+    out = out.select(*docs.columns, "_lp_shard", "_lp_key", "_lp_piece")
+    # A shard's rows come together in sixteenths of its order; where one of these is large, as of a repeated row, it is split.
+    out = out.hint("rebalance", F.col("_lp_shard"), F.col("_lp_piece")).sortWithinPartitions("_lp_shard", "_lp_key")
+    return out.select(*docs.columns, *(["_lp_shard", "_lp_key"] if shards else []))
+
+
+def _first_of(rows: DataFrame) -> DataFrame:
+    """Of the rows taken for one key and source the first _lp_x.t, by numbers dealt to 1024 parts, so that no key is one task."""
+    held = common.stored(rows.withColumn("_lp_m", F.monotonically_increasing_id()), "cut")
+    key = ["_lp_g", "_lp_s"]
+    held = held.withColumns({"_lp_g": F.col("_lp_x.key"), "_lp_p": F.pmod(F.xxhash64("_lp_m"), F.lit(1024))})
+    counts = held.groupBy(*key, "_lp_p").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("_lp_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(c).alias(f"{c}2") for c in (*key, "_lp_p")), before.alias("_lp_b"))
+    inside = F.row_number().over(Window.partitionBy(*key, "_lp_p").orderBy("_lp_m"))
+    on = (F.col("_lp_g") == F.col("_lp_g2")) & F.col("_lp_s").eqNullSafe(F.col("_lp_s2")) & (F.col("_lp_p") == F.col("_lp_p2"))
+    return held.withColumn("_lp_r", inside).join(counts, on).filter(F.col("_lp_r") + F.col("_lp_b") <= F.col("_lp_x.t")).select(*rows.columns)

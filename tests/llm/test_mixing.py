@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from lonepoint.llm import mixing
 
@@ -42,6 +44,7 @@ def test_amounts(frame, spark):
         assert r["size"] == size[r.doc_id] and r.source_size == per[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6
         assert r.taken in [k * r["size"] for k in range(4)]
         taken[source[r.doc_id]] += r.taken
+        assert len(r.shards) == len(r.order_keys) == r.times and r.taken == r.times * r["size"]
     assert all(abs(taken[s] - want[s]) <= 60 for s in per)
     again = mixing.amounts(frame(docs).repartition(7)).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
@@ -49,13 +52,94 @@ def test_amounts(frame, spark):
 
 def test_mix_returns_what_amounts_says(frame):
     docs = rows(300)
-    times = {r.doc_id: r.times for r in mixing.amounts(frame(docs)).collect()}
-    mixed = mixing.mix(frame(docs), place=True).collect()
-    assert Counter(r.doc_id for r in mixed) == Counter({d: n for d, n in times.items() if n})
-    assert len({(r._lp_shard, r._lp_place) for r in mixed}) == len(mixed)
+    told = mixing.amounts(frame(docs), shard_words=700).collect()
+    mixed = mixing.mix(frame(docs), shards=True, shard_words=700).collect()
+    assert Counter((r.doc_id, r._lp_shard, r._lp_key) for r in mixed) == Counter((r.doc_id, s, k) for r in told for s, k in zip(r.shards, r.order_keys, strict=True))
+    assert len({r._lp_shard for r in mixed}) > 4
     assert mixing.mix(frame(docs)).columns == frame(docs).columns
 
 
+def test_the_rows_of_a_task_are_in_the_order_of_their_keys(frame):
+    mixed = mixing.mix(frame(rows(300)), shards=True, shard_words=700).withColumn("p", F.spark_partition_id()).collect()
+    by = {}
+    for r in mixed:
+        by.setdefault(r.p, []).append((r._lp_shard, r._lp_key))
+    assert all(v == sorted(v) for v in by.values())
+
+
+def test_repeated_rows_meet_the_target(frame):
+    """1,000 rows alike are most of a source: as many of them as the target has room for."""
+    docs = [(1, "w " * 10, "z")] * 1000 + [(i, "v " * 10, "y") for i in range(2, 50)] + [(60, None, None), (60, None, None)]
+    told = mixing.amounts(frame(docs)).collect()
+    assert len(told) == len(docs)
+    taken = Counter()
+    for r in told:
+        taken[r.doc_id] += r.taken
+    target = {r.doc_id: r.target for r in told}
+    assert abs(taken[1] - target[1]) <= 10 and 0 < target[1] < 10_000 and max(r.times for r in told) <= 3
+    mixed = Counter(r.doc_id for r in mixing.mix(frame(docs)).collect())
+    assert mixed[1] * 10 == taken[1] and all(mixed[i] * 10 == taken[i] for i in range(2, 50)) and not mixed[60]
+
+
+def test_rows_repeated_more_often_than_a_chunk(spark):
+    docs = spark.range(20_000).selectExpr("if(id < 15000, 7, id) AS doc_id", "'one two' AS text", "'s' AS source")
+    told = mixing.amounts(docs)
+    assert told.count() == 20_000 and told.filter("doc_id = 7").count() == 15_000
+    assert told.agg(F.sum("taken")).head()[0] == 40_000 and told.agg(F.max("times")).head()[0] == 1
+
+
+def test_the_tree_decides_the_shards(frame, monkeypatch):
+    """The blocks that a shard holds of a source are as many as the tree gave it, and another tree gives other shards."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 8)
+    seen = []
+    real = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda counts, shards, seed=1: seen.append(real(counts, shards, seed)) or seen[-1])
+    docs = rows(600)
+    told = mixing.amounts(frame(docs), shard_words=1500).collect()
+    quota = seen[-1]
+    per = {}
+    m = mixing.plan_mix(frame(docs), shard_words=1500)
+    for r in m.rows.collect():
+        for x in r.takes:
+            per.setdefault((x.shard, r.sid), set()).add((x.epoch, r.block))
+    assert quota.shape[0] > 4 and all(len(v) <= quota[k] for k, v in per.items())
+    monkeypatch.setattr(mixing, "splitting_tree", lambda counts, shards, seed=1: np.concatenate([np.zeros((shards - 1, len(counts)), np.int64), np.array([counts])]))
+    assert {s for r in mixing.amounts(frame(docs), shard_words=1500).collect() for s in r.shards} == {quota.shape[0] - 1}
+    assert {s for r in told for s in r.shards} == set(np.flatnonzero(quota.sum(1)).tolist())
+
+
+def test_sizes_and_targets_against_sql(frame):
+    """The iterated resharing in SQL: a source is full once its share is above three times its size; as many rounds as there are sources."""
+    docs = rows(200) + [(9000 + i, "w " * n, s) for i, (n, s) in enumerate([(1, "d"), (2, "e"), (900, "f"), (3, "g"), (1, "h")])]
+    got = mixing.amounts(frame(docs)).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", docs)
+    want = con.execute(TARGETS).fetchall()
+    assert len(want) == len(got)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    for a, b in zip(sorted(want, key=key), sorted(((r.doc_id, r["size"], r.source_size, r.target) for r in got), key=key), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6
+
+
+TARGETS = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+    SELECT source, sum(size) AS size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source
+), r(round, source, size, w, full_) AS (
+    SELECT 0, source, size, w, false FROM s
+    UNION ALL
+    SELECT round + 1, source, size, w, full_ OR w * ((SELECT sum(size) FROM s) - sum(CASE WHEN full_ THEN 3 * size ELSE 0 END) OVER ()) / greatest(1, sum(CASE WHEN full_ THEN 0 ELSE w END) OVER ()) > 3 * size
+    FROM r WHERE round < (SELECT count(*) FROM s)
+), t AS (
+    SELECT source, size, CASE WHEN full_ THEN 3.0 * size ELSE w * ((SELECT sum(size) FROM s) - sum(CASE WHEN full_ THEN 3 * size ELSE 0 END) OVER ()) / sum(CASE WHEN full_ THEN 0 ELSE w END) OVER () END AS target
+    FROM r WHERE round = (SELECT count(*) FROM s)
+)
+SELECT doc_id, d.size, t.size AS source_size, target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+
 def test_empty(frame):
     assert mixing.amounts(frame([])).count() == 0 and mixing.mix(frame([])).count() == 0
     got = mixing.amounts(frame([(1, None, None)])).collect()[0]
