@@ -1,6 +1,9 @@
 import itertools
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -32,6 +35,69 @@ def test_forward_backward_against_all_labellings(seed):
     assert np.allclose(expected, total)
 
 
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 500, 1000])
+def test_long_chains_against_one_step_after_the_other(n, monkeypatch):
+    monkeypatch.setattr(Q, "SEGMENT", 8)
+    monkeypatch.setattr(Q, "SEGMENTS", 8)
+    rng = np.random.default_rng(n)
+    unary, pairs = rng.normal(size=n) * 3, rng.normal(size=(2, 2))
+    want, _ = Q.Chains(np.array([0, n])).marginals(unary, pairs)
+    got = np.full(n, np.nan)
+    for at, p in Q.long_marginals(unary, pairs):
+        got[at : at + len(p)] = p
+    assert np.allclose(got, want)
+
+
+def trained():
+    rows, labels = corpus(300)
+    y = dict((d, q) for d, q, _ in labels)
+    lines = [Q.split_lines(t.encode()) for d, t in rows if d in y]
+    return Q.Model.fit([Q.line_features(x) for x in lines], [np.array([len(v) for v in x]) for x in lines], np.array([y[d] for d, _ in rows if d in y]))
+
+
+def test_a_text_scores_alike_by_stretches_and_at_once(monkeypatch):
+    model = trained()
+    rng = random.Random(1)
+    text = "\n".join(rng.choice(["The river walked.", "stone$$$ green%%%", "", "x"]) for _ in range(3000)).encode() + b"\n"
+    score, p = model.scores([text])
+    monkeypatch.setattr(Q, "LONG", 10)
+    monkeypatch.setattr(Q, "STRETCH", 500)
+    by, q = model.scores([text])
+    assert len(p[0]) == len(q[0]) == 3001 and np.allclose(p[0], q[0], atol=1e-5) and np.allclose(score, by, atol=1e-6)
+
+
+@pytest.mark.parametrize("text", [b"", b"\n", b"a\nb", b"x" * 1200 + b"\n\n" + b"y\n" * 700 + b"z" * 600])
+def test_stretches_are_the_lines(text, monkeypatch):
+    monkeypatch.setattr(Q, "STRETCH", 500)
+    assert [x for part in Q.stretches(text) for x in part] == text.split(b"\n")
+
+
+def test_long_lines_add_up(monkeypatch):
+    line = b"Some words $$ and numb3rs! " * 400
+    whole = Q.line_features([line, b"x"])
+    monkeypatch.setattr(Q, "BLOCK", 1000)
+    monkeypatch.setattr(Q, "blocks", lambda lines: ((i, [x]) for i, x in enumerate(lines)))
+    assert np.allclose(Q.line_features([line, b"x"]), whole, atol=1e-6)
+
+
+@pytest.mark.parametrize("text", [b"\n" * (16 << 20), b"a\n" * (4 << 20), b"stone " * (2 << 20)])
+def test_memory_and_time_are_bounded(text):
+    """A process of its own scores the text within 1 GB beside what the libraries take."""
+    code = f"""
+import resource, sys, time, zlib
+sys.path[:0] = {sys.path!r}
+from tests.llm import test_quality as t
+model = t.trained()
+text = {text[:8]!r} * {len(text) // 8} if {len(text)} % 8 == 0 else None
+text = text or {text[:6]!r} * {len(text) // 6}
+begun, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+model.scores([text])
+print(time.time() - begun, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(Path(__file__).resolve().parents[2])).stdout.split()
+    assert float(out[0]) < 240 and float(out[1]) < 1 << 20, out
+
+
 def corpus(n=700):
     rng = random.Random(8)
     words = ["river", "stone", "the", "of", "walked", "house", "and", "green", "later", "morning"]
@@ -52,7 +118,7 @@ def corpus(n=700):
 
 def test_held_out_accuracy_and_edges(frame, spark):
     rows, labels = corpus()
-    odd = [(5000, None), (5001, ""), (None, "The river."), (5002, "\n\n\n"), (5003, "stone " * 100_000), (3, rows[3][1])]
+    odd = [(5000, None), (5001, ""), (None, "The river."), (5002, "\n\n\n"), (5003, "stone " * 100_000), (5004, "The river.\n" * 20_000), (3, rows[3][1])]
     table = spark.createDataFrame([*labels, (6000, 1, 0), (None, 0, 0), (7, None, None)], "doc_id long, quality int, toxic int")
     got = Q.score(frame(rows + odd), table).collect()
     assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 for r in got)
