@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--datafile", required=True)
     d.add_argument("--containsClass", action="store_true", help="the last field of each line is a class")
     d.add_argument("--outliersFile")
+    d.add_argument("--oneFile", action="store_true", help="one task writes all ids to one file")
     d.add_argument("--seed", type=int, default=1)
     d.add_argument("--exactLifecycle", action="store_true", help="report the three lifecycle counts as well")
     c = sub.add_parser("compare", help="recall and precision of one file of ids against another")
@@ -43,6 +44,12 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def approximate(points: DataFrame, p: Params, pd_limit: int | None, ring: float, seed: int) -> DataFrame:
+    """Rows of the approximate detector, for points as one stream."""
+    detector = replay.MicroClusters(p, pd_limit=p.window if pd_limit is None else pd_limit, ring=ring, seed=seed)
+    return replay.replay(points.select(F.lit("all").alias("stream_id"), "id", "values"), detector)
+
+
 def detect(spark: SparkSession, points: DataFrame, algorithm: str, p: Params, pd_limit: int | None = None, ring: float = 0.0, seed: int = 1) -> DataFrame:
     """id of pure outliers by one of ALGORITHMS, with the hash families' usual numbers of tables and hashes."""
     dims = source.dimensions(points)
@@ -55,12 +62,16 @@ def detect(spark: SparkSession, points: DataFrame, algorithm: str, p: Params, pd
     if algorithm == "ApproxMCLSHOD":
         return lsh_join.lsh_pure_outliers(points, p, LshParams(10, 5, 1.5 * p.radius, seed), dims, verify=True)
     if algorithm == "ApproxMCOD":
-        detector = replay.MicroClusters(p, pd_limit=p.window if pd_limit is None else pd_limit, ring=ring, seed=seed)
-        found = replay.replay(points.select(F.lit("all").alias("stream_id"), "id", "values"), detector)
-        return found.filter("kind = 'outlier'").select("id")
+        return approximate(points, p, pd_limit, ring, seed).filter("kind = 'outlier'").select("id")
     raise ValueError(f"unknown algorithm {algorithm}; known: {', '.join(ALGORITHMS)}")
 
 
+def peak_mb(spark: SparkSession) -> float:
+    """The most memory that the heap of the driver's JVM has had in use, by pools."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+    return sum(b.getPeakUsage().getUsed() for b in beans if b.getType().toString().startswith("Heap")) / (1 << 20)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("lonepoint").getOrCreate()
@@ -73,9 +84,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p = Params(a.W, a.slide, a.R, a.k)
     begun = time.time()
     pts = source.read_csv(spark, a.datafile, a.containsClass).persist()
-    found = detect(spark, pts, a.algorithm, p, a.pdLimit, a.arFactor, a.seed).persist()
+    rows = approximate(pts, p, a.pdLimit, a.arFactor, a.seed).persist() if a.algorithm == "ApproxMCOD" else None
+    found = (detect(spark, pts, a.algorithm, p, a.pdLimit, a.arFactor, a.seed) if rows is None else rows.filter("kind = 'outlier'").select("id")).persist()
     if a.outliersFile:
-        source.write_ids(found, a.outliersFile)
+        source.write_ids(found, a.outliersFile, a.oneFile)
     n, total = found.count(), pts.count()
     print(f"points: {total}")
     print(f"pure outliers: {n}" + (f" ({100 * n / total:.1f} %)" if total else ""))
@@ -83,7 +95,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         c = counts.lifecycle_counts(pts, p, source.dimensions(pts))
         r, s = c.head(), counts.percentages(c).head()
         print(f"only inlier: {r.only_in} ({s.only_in_pct} %), only outlier: {r.only_out} ({s.only_out_pct} %), both: {r['both']} ({s.both_pct} %)")
-    print(f"time: {1000 * (time.time() - begun):.0f} ms")
+    # A plan of joins searches once for each point; the stateful detector counts its searches, those of dissolved clusters among them.
+    queries = total if rows is None else rows.agg(F.coalesce(F.sum("queries"), F.lit(0))).head()[0]
+    print(f"range queries: {queries}")
+    took = 1000 * (time.time() - begun)
+    print(f"time: {took:.0f} ms" + (f", {took / max(1, -(-total // p.slide)) * 100:.0f} ms for 100 slides" if total else ""))
+    print(f"peak memory: {peak_mb(spark):.0f} MB")
     return 0
 
 

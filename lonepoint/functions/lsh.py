@@ -32,4 +32,9 @@ def table_keys(values: Column, p: LshParams, dims: int) -> Column:
     return F.array(*(F.concat_ws(",", *(hash_value(values, a, b, p.width).cast("string") for a, b in table)) for table in projections(p, dims)))
 
 
-__all__ = ["dot", "hash_value", "projections", "table_keys"]
+def table_hashes(values: Column, p: LshParams, dims: int) -> list[Column]:
+    """64 bits of each table's key: narrow, and equal where the keys are."""
+    return [F.xxhash64(*(hash_value(values, a, b, p.width) for a, b in table)) for table in projections(p, dims)]
+
+
+__all__ = ["dot", "hash_value", "projections", "table_hashes", "table_keys"]

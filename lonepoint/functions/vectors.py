@@ -34,6 +34,15 @@ def euclidean(a: Column | str, b: Column | str, dims: int | None = None) -> Colu
     return F.sqrt(squared_distance(a, b, dims))
 
 
+def manhattan(a: Column | str, b: Column | str, dims: int | None = None) -> Column:
+    return _sum(_col(a), _col(b), lambda x, y: F.abs(x - y), dims)
+
+
+def chebyshev(a: Column | str, b: Column | str, dims: int | None = None) -> Column:
+    """The largest difference in a coordinate."""
+    return F.array_max(F.zip_with(_col(a), _col(b), lambda x, y: F.abs(x - y)))
+
+
 def slide_number(id_: Column | str, slide: int) -> Column:
     """Slides count from 1, ids from 1."""
     return F.floor((_col(id_) - 1) / slide).cast("long") + 1

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lonepoint.functions.lsh import table_keys
+from lonepoint.functions.lsh import table_hashes, table_keys
 from lonepoint.functions.vectors import euclidean
 from lonepoint.operators.counts import grouped, pure_outliers
 from lonepoint.params import LshParams, Params
@@ -24,23 +24,37 @@ def buckets(points: DataFrame, lsh: LshParams, dims: int) -> DataFrame:
 def group_pairs(points: DataFrame, p: Params, lsh: LshParams, dims: int, verify: bool) -> DataFrame:
     """Pairs of groups of equal points that share a bucket, each once: in the first table where they do, so that nothing needs a distinct.
 
-    x is in the same or a later slide; with verify only pairs within the radius.
+    x is in the same or a later slide; with verify only pairs within the radius. Rows carry numbers only (x_gid, x_slide_no, x_w and
+    the same of q, values for verify): a group's points are for the caller to join. Keys meet as 64-bit hashes.
     """
-    groups = grouped(points, p.slide).withColumn("ks", table_keys(F.col("values"), lsh, dims))
+    groups = grouped(points, p.slide)
+    cols = ["gid", "slide_no", "w", *(["values"] if verify else [])]
+    names = [f"k{i}" for i in range(lsh.tables)]
+    hashed = groups.select(*cols, *(h.alias(n) for h, n in zip(table_hashes(F.col("values"), lsh, dims), names, strict=True)))
     t = F.floor((F.col("slide_no") - 1) / p.n).cast("long")
-    times = F.array(t, t - 1) if p.n > 1 else F.array(t)
-    x = groups.select(*(F.col(c).alias(f"x_{c}") for c in groups.columns), F.posexplode("ks").alias("tbl", "key"), times.alias("ts")).withColumn("t", F.explode("ts")).drop("ts")
-    q = groups.select(*(F.col(c).alias(f"q_{c}") for c in groups.columns), F.posexplode("ks").alias("tbl", "key"), t.alias("t"))
+    tables = F.posexplode(F.array(*names)).alias("tbl", "key")
+
+    def side(name: str, times: Column) -> DataFrame:
+        return hashed.select(*(F.col(c).alias(f"{name}_{c}") for c in (*cols, *names)), times.alias("t"), tables)
+
+    x = side("x", F.array(t, t - 1) if p.n > 1 else F.array(t)).withColumn("t", F.explode("t"))
+    q = side("q", t)
+    # Before the join's other condition, as most pairs that share a bucket share several.
+    first = F.lit(None).cast("int")
+    for i in reversed(range(lsh.tables)):
+        first = F.when(F.col(f"x_k{i}") == F.col(f"q_k{i}"), F.lit(i)).otherwise(first)
     gap = F.col("x_slide_no") - F.col("q_slide_no")
-    first = F.array_position(F.zip_with("x_ks", "q_ks", lambda a, b: a == b), True) == F.col("tbl") + 1
-    found = x.join(q, ["t", "tbl", "key"]).filter((gap >= 0) & (gap < p.n) & first)
+    found = x.join(q, ["t", "tbl", "key"]).filter((gap >= 0) & (gap < p.n) & (first == F.col("tbl")))
+    found = found.select(*(f"{n}_{c}" for n in ("x", "q") for c in cols))
     return found.filter(euclidean("x_values", "q_values", dims) <= p.radius) if verify else found
 
 
 def candidates(points: DataFrame, p: Params, lsh: LshParams, dims: int, verify: bool = False) -> DataFrame:
     """Ordered pairs id, nbr_id of different co-resident points that share a bucket, and their distance d."""
-    d = euclidean("x_values", "q_values", dims)
-    found = group_pairs(points, p, lsh, dims, verify).select(d.alias("d"), F.explode("x_ids").alias("x_id"), "q_ids")
+    groups = grouped(points, p.slide)
+    side = lambda n: groups.select(F.col("gid").alias(f"{n}_gid"), F.col("ids").alias(f"{n}_ids"), F.col("values").alias(f"{n}_v"))
+    found = group_pairs(points, p, lsh, dims, verify).select("x_gid", "q_gid").join(side("x"), "x_gid").join(side("q"), "q_gid")
+    found = found.select(euclidean("x_v", "q_v", dims).alias("d"), F.explode("x_ids").alias("x_id"), "q_ids")
     # Within a slide the groups meet in both orders, and the order of ids gives one of them.
     met = found.select("d", "x_id", F.explode("q_ids").alias("q_id")).filter(F.col("x_id") > F.col("q_id"))
     both = F.array(F.struct(F.col("x_id").alias("id"), F.col("q_id").alias("nbr_id")), F.struct(F.col("q_id").alias("id"), F.col("x_id").alias("nbr_id")))

@@ -8,6 +8,7 @@ grows with the stream.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from lonepoint.functions.vectors import euclidean, slide_number
 from lonepoint.params import Params
 
+#: From two columns (or their names) and the dimensions to the distance.
+Distance = Callable[[str, str, int], Column]
+
 #: Dimensions that make cells; more would multiply the probes by three each.
 CELL_DIMS = 2
 #: Cells are wider than the radius by this share, so that rounding can't put neighbours two cells apart.
@@ -30,10 +34,11 @@ def _cells(values: Column, radius: float, dims: int, used: int) -> list[Column]:
     return [F.floor(values[i] / (radius * (1 + MARGIN))).cast("long") for i in range(min(dims, used))]
 
 
-def earlier_pairs(points: DataFrame, p: Params, dims: int, radius: float | None = None, keep: tuple[str, ...] = ("id",), cell_dims: int | None = None) -> DataFrame:
+def earlier_pairs(points: DataFrame, p: Params, dims: int, radius: float | None = None, keep: tuple[str, ...] = ("id",), cell_dims: int | None = None, distance: Distance = euclidean) -> DataFrame:
     """Each point (x_...) with those of its own slide and up to n - 1 slides before (q_...) within the radius, itself included.
 
-    points has slide_no, values and the columns in keep. d is the distance.
+    points has slide_no, values and the columns in keep. d is the distance: any function of two columns and the dimensions. Cells need one
+    that is never less than the difference of two points in one coordinate, as all norms are; for another give cell_dims 0.
     """
     r = p.radius if radius is None else radius
     used = CELL_DIMS if cell_dims is None else cell_dims
@@ -48,7 +53,7 @@ def earlier_pairs(points: DataFrame, p: Params, dims: int, radius: float | None
     q = points.select(*(F.col(c).alias(f"q_{c}") for c in cols), bucket.alias("t"), *(c.alias(f"c{i}") for i, c in enumerate(cells)))
     gap = F.col("x_slide_no") - F.col("q_slide_no")
     joined = x.join(q, ["t", *(f"c{i}" for i in range(len(cells)))])
-    return joined.filter((gap >= 0) & (gap < p.n)).withColumn("d", euclidean("x_values", "q_values", dims)).filter(F.col("d") <= r)
+    return joined.filter((gap >= 0) & (gap < p.n)).withColumn("d", distance("x_values", "q_values", dims)).filter(F.col("d") <= r)
 
 
 def pairs(points: DataFrame, p: Params, dims: int, radius: float | None = None, **options) -> DataFrame:
@@ -91,6 +96,22 @@ def nearest_centre(points: DataFrame, centres: DataFrame, dims: int, within: flo
 
 
 def equal_points(points: DataFrame) -> DataFrame:
-    """For each point how many points have its value, itself included, and the smallest of their ids."""
-    groups = points.groupBy("values").agg(F.count("*").alias("n_refs"), F.min("id").alias("first_id"))
-    return points.join(groups, "values").select("id", "n_refs", "first_id")
+    """For each point how many points have its value, itself included, and the smallest of their ids.
+
+    The join's keys are more than those of the aggregate, so that both sides are shuffled for it and a value that very many points have
+    can be split.
+    """
+    hashed = points.withColumn("h", F.xxhash64("values"))
+    groups = points.groupBy("values").agg(F.count("*").alias("n_refs"), F.min("id").alias("first_id")).withColumn("h", F.xxhash64("values"))
+    return hashed.join(groups, ["h", "values"]).select("id", "n_refs", "first_id")
+
+
+def neighbour_sets(found: DataFrame) -> DataFrame:
+    """id, before and after: the ordered distinct ids of the neighbours in earlier slides, and in the own or later ones, from pairs()."""
+    ids = lambda which: F.array_sort(F.collect_set(F.when(which, F.col("nbr_id"))))
+    return found.groupBy("id").agg(ids(F.col("nbr_slide") < F.col("slide_no")).alias("before"), ids(F.col("nbr_slide") >= F.col("slide_no")).alias("after"))
+
+
+def same_centre(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: the order of two centres by their coordinates, the first that differs deciding; 0 where they are the same centre."""
+    return F.when(a == b, 0).when(a < b, -1).otherwise(1)

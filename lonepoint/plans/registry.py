@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lonepoint.functions import lsh as lsh_functions
@@ -238,6 +238,33 @@ def equal_points(spark, sf_dir):
     return neighbors.equal_points(events(spark, sf_dir))
 
 
+@query(f"""WITH {_e(EVENTS)} SELECT x.id, q.id AS nbr_id, abs(x.v - q.v) AS d FROM e x JOIN e q
+ON x.id < q.id AND abs(x.s - q.s) < {EVENTS.n} AND abs(x.v - q.v) <= {EVENTS.radius / 4}""")
+def range_join_manhattan(spark, sf_dir):
+    """Another distance in the same join, each pair once."""
+    pts = neighbors.with_slide(events(spark, sf_dir), EVENTS.slide)
+    found = neighbors.earlier_pairs(pts, EVENTS, 1, EVENTS.radius / 4, distance=vectors.manhattan).filter("x_id > q_id")
+    return found.select(F.col("q_id").alias("id"), F.col("x_id").alias("nbr_id"), "d")
+
+
+@query(f"""WITH {_e(EVENTS)}, {_nb(EVENTS)} SELECT id, coalesce(string_agg(nbr_id, ',' ORDER BY nbr_id) FILTER (t < s), '') AS before,
+coalesce(string_agg(nbr_id, ',' ORDER BY nbr_id) FILTER (t >= s), '') AS after FROM nb GROUP BY id""")
+def neighbour_sets(spark, sf_dir):
+    """The ordered neighbours of each point as a list: of earlier slides, and of the own or later ones."""
+    found = neighbors.neighbour_sets(neighbors.pairs(events(spark, sf_dir), EVENTS, 1))
+    return found.select("id", *(F.concat_ws(",", F.transform(c, lambda v: v.cast("string"))).alias(c) for c in ("before", "after")))
+
+
+@query(f"""WITH e AS (SELECT vec_id + 1 AS id, embedding::DOUBLE[] AS v, vec_id // {VECTORS.slide} + 1 AS s FROM embeddings),
+c AS (SELECT s, arg_min(v, id) AS v FROM e GROUP BY s) SELECT a.s AS slide_no, b.s AS other, CASE WHEN a.v = b.v THEN 0 WHEN a.v < b.v THEN -1 ELSE 1 END AS comparison FROM c a JOIN c b ON b.s = a.s + 1""")
+def centre_comparison(spark, sf_dir):
+    """The first point of each slide as its centre, compared with the next slide's by coordinates."""
+    pts = neighbors.with_slide(embeddings(spark, sf_dir), VECTORS.slide)
+    centres = pts.groupBy("slide_no").agg(F.min_by("values", "id").alias("v"))
+    other = centres.select((F.col("slide_no") - 1).alias("slide_no"), F.col("slide_no").alias("other"), F.col("v").alias("w"))
+    return centres.join(other, "slide_no").select("slide_no", "other", neighbors.same_centre(F.col("v"), F.col("w")).alias("comparison"))
+
+
 # Counts
 
 
@@ -466,11 +493,16 @@ def approx_mcod_unlimited(spark, sf_dir):
     return replay.replay(streams(spark, sf_dir), d).filter("kind = 'outlier'").select("stream_id", "id")
 
 
-@query()
+@query(f"""WITH {_STREAMS}, r AS (SELECT y, batch, count(*) AS residents, count(*) FILTER (cnt < {STREAM.k}) AS outliers FROM wc GROUP BY ALL)
+SELECT y AS stream_id, batch AS id, residents, outliers, residents AS listed_or_clustered, 0 AS unbalanced FROM r""")
 def micro_cluster_state(spark, sf_dir):
-    """By slide: residents, clusters, clustered and unclustered points, clusters made and dissolved."""
+    """By slide the residents and outliers of the micro-cluster detector, the points that are in clusters or in its list, and the clusters
+    that aren't accounted for by those made and dissolved so far."""
     d = replay.MicroClusters(STREAM, pd_limit=STREAM.window, ring=0.0, seed=7)
-    return replay.replay(streams(spark, sf_dir), d).filter("kind = 'slide'").drop("kind")
+    slides = replay.replay(streams(spark, sf_dir), d).filter("kind = 'slide'")
+    # One row for each slide of a stream: far fewer than points, and a window's worth of work for each.
+    so_far = F.sum(F.col("made") - F.col("dissolved")).over(Window.partitionBy("stream_id").orderBy("id"))
+    return slides.select("stream_id", "id", "residents", "outliers", (F.col("clustered") + F.col("unclustered")).alias("listed_or_clustered"), (F.col("clusters") - so_far).alias("unbalanced"))
 
 
 @query()
@@ -488,11 +520,11 @@ def clustered_lsh(spark, sf_dir):
 
 
 @query(f"""WITH {_STREAMS}, o AS (SELECT y, seq, max(cnt) < {STREAM.k} AS pure FROM wc GROUP BY ALL)
-SELECT y AS stream_id, count(*) AS points, count(*) FILTER (pure) AS pure_outliers, round(count(*) FILTER (pure) * 100.0::DOUBLE / count(*), 1) AS pct FROM o GROUP BY y""")
+SELECT y AS stream_id, count(*) AS points, count(*) FILTER (pure) AS pure_outliers, round(count(*) FILTER (pure) * 100.0::DOUBLE / count(*), 1) AS pct,
+count(*) AS range_queries, max(seq - 1) // {STREAM.slide} + 1 AS slides FROM o GROUP BY y""")
 def run_report(spark, sf_dir):
-    """By stream what a run reports about its results."""
+    """By stream what a run reports about its results; time and memory are the command line's to tell, as no two runs agree on them."""
     pts = streams(spark, sf_dir)
-    found = replay.replay(pts, replay.Exact(STREAM)).filter("kind = 'outlier'").groupBy("stream_id").agg(F.count("*").alias("n"))
+    rows = replay.replay(pts, replay.Exact(STREAM)).groupBy("stream_id").agg(F.count_if(F.col("kind") == "outlier").alias("pure_outliers"), F.sum("queries").alias("range_queries"), F.count_if(F.col("kind") == "slide").alias("slides"))
     total = pts.groupBy("stream_id").agg(F.count("*").alias("points"))
-    n = F.coalesce("n", F.lit(0))
-    return total.join(found, "stream_id", "left").select("stream_id", "points", n.alias("pure_outliers"), F.round(n * 100.0 / F.col("points"), 1).alias("pct"))
+    return total.join(rows, "stream_id").select("stream_id", "points", "pure_outliers", F.round(F.col("pure_outliers") * 100.0 / F.col("points"), 1).alias("pct"), "range_queries", "slides")

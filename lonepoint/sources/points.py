@@ -79,7 +79,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.coalesce(value.try_cast("long"), F.raise_error(F.concat(F.lit("not an id: "), value)).cast("long")).alias("id"))
 
 
-def write_ids(ids: DataFrame, path: str, one_file: bool = True) -> None:
-    """Ascending and unique, one a line. One file is what the comparator's users expect; large results keep their sorted parts."""
+def write_ids(ids: DataFrame, path: str, one_file: bool = False) -> None:
+    """Ascending and unique, one a line, in sorted parts whose names keep the order; one_file has one task write all, for tools that read a file."""
     out = ids.select("id").distinct().orderBy("id")
     (out.coalesce(1) if one_file else out).select(F.col("id").cast("string")).write.mode("overwrite").text(path)

@@ -15,8 +15,9 @@ import numpy as np
 from lonepoint.functions.lsh import projections
 from lonepoint.params import LshParams, Params
 
-#: Numbers of a slide: residents at its end, outliers among them, clusters, clustered and unclustered points, clusters made and dissolved in it.
-NUMBERS = ("residents", "outliers", "clusters", "clustered", "unclustered", "made", "dissolved")
+#: Numbers of a slide: residents at its end, outliers among them, clusters, clustered and unclustered points; and what happened in it: clusters made
+#: and dissolved, points added to clusters and to the unclustered ones that are searched, points that became safe inliers, range searches.
+NUMBERS = ("residents", "outliers", "clusters", "clustered", "unclustered", "made", "dissolved", "joined", "listed", "safe", "queries")
 
 
 class Exact:
@@ -51,7 +52,7 @@ class Exact:
         state["values"], state["born"] = everyone, born
         count = state["per"].sum(1)
         state["inlier"] = np.concatenate([state["inlier"][stays], np.zeros(len(values), bool)]) | (count >= p.k)
-        return gone, {"residents": len(count), "outliers": int((count < p.k).sum())}
+        return gone, {"residents": len(count), "outliers": int((count < p.k).sum()), "queries": len(values)}
 
     def finish(self, state: dict) -> list[int]:
         return sorted(state["ids"][~state["inlier"]].tolist())
@@ -102,14 +103,20 @@ class _Stateful:
         self.params, self.seed = params, seed
 
     def start(self) -> dict:
-        return {"slide": 0, "points": {}, "slides": [], "random": random.Random(self.seed).getstate()}
+        return {"slide": 0, "points": {}, "slides": [], "matrix": None, "random": random.Random(self.seed).getstate()}
+
+    def distances(self, state: dict, v: np.ndarray, ids: list[int]) -> np.ndarray:
+        """From v to residents; their values lie in a matrix, at the id's place in the window."""
+        return np.sqrt(_squares(v[None], state["matrix"][np.array(ids, np.int64) % self.params.window]))[0]
 
     def step(self, state: dict, ids: list[int], values: np.ndarray) -> tuple[list[int], dict]:
         p = self.params
         rng = random.Random()
         rng.setstate(state["random"])
         state["slide"] += 1
-        numbers = {"made": 0, "dissolved": 0}
+        numbers = dict.fromkeys(("made", "dissolved", "joined", "listed", "safe", "queries"), 0)
+        if state["matrix"] is None:
+            state["matrix"] = np.zeros((p.window, values.shape[1]))
         gone: list[int] = []
         if len(state["slides"]) == p.n:
             expired = [state["points"].pop(i) for i in state["slides"].pop(0)]
@@ -124,6 +131,7 @@ class _Stateful:
         first = state["slides"][0][0]
         for i, v in zip(ids, values, strict=True):
             x = state["points"][i] = Point(i, np.asarray(v, float), state["slide"])
+            state["matrix"][i % p.window] = x.values
             self.arrive(state, x, first, numbers, rng, None)
         state["random"] = rng.getstate()
         points = state["points"].values()
@@ -134,15 +142,20 @@ class _Stateful:
     def finish(self, state: dict) -> list[int]:
         return sorted(x.id for x in state["points"].values() if not x.was_in)
 
-    def met(self, x: Point, q: Point, first: int, both: bool) -> None:
+    def met(self, x: Point, q: Point, first: int, both: bool, numbers: dict) -> None:
         """x and q are neighbours; with both, q hears of it too."""
-        x.meet(q)
+        self.heard(x, q, numbers)
         if both:
-            q.meet(x)
+            self.heard(q, x, numbers)
             if not q.inlier and q.count(first) >= self.params.k:
                 q.judge(True)
 
 
+    def heard(self, x: Point, q: Point, numbers: dict) -> None:
+        x.meet(q)
+        numbers["safe"] += x.after == self.params.k and q.slide >= x.slide
+
+
 class Buckets:
     """Hash tables over the residents that are indexed."""
 
@@ -172,7 +185,7 @@ class MicroClusters(_Stateful):
         self.pd_limit, self.ring, self.lsh, self.buckets = pd_limit, ring, lsh, None
 
     def start(self) -> dict:
-        return super().start() | {"clusters": {}, "next": 1, "free": {}, "tables": {}}
+        return super().start() | {"clusters": {}, "centres": None, "next": 1, "free": {}, "tables": {}}
 
     def __getstate__(self):
         return self.__dict__ | {"buckets": None}
@@ -201,63 +214,94 @@ class MicroClusters(_Stateful):
     def _around(self, state: dict, x: Point, radius: float) -> list[tuple[float, Point]]:
         free = state["free"]
         if self.lsh:
-            found = [free[i] for i in sorted({i for key in self._keys(x) for i in state["tables"].get(key, ())})]
+            found = sorted({i for key in self._keys(x) for i in state["tables"].get(key, ())})
         else:
-            found = list(free.values())
-        return [(d, q) for d, q in zip(_distances(x.values, found), found, strict=True) if d <= radius]
+            found = list(free)
+        if not found:
+            return []
+        d = self.distances(state, x.values, found)
+        near = np.flatnonzero(d <= radius)
+        return [(d, free[found[i]]) for i, d in zip(near.tolist(), d[near].tolist(), strict=True)]
+
+    def _near_clusters(self, state: dict, x: Point) -> list[tuple[float, int]]:
+        """Distance and number of the clusters whose centre lies within one and a half radii, the nearest first."""
+        if not state["clusters"]:
+            return []
+        if state["centres"] is None:
+            state["centres"] = list(state["clusters"]), np.stack([c["centre"] for c in state["clusters"].values()])
+        names, values = state["centres"]
+        d = np.sqrt(_squares(x.values[None], values))[0]
+        near = np.flatnonzero(d <= 1.5 * self.params.radius)
+        return sorted(zip(d[near].tolist(), (names[i] for i in near.tolist()), strict=True))
+
+    def _within(self, state: dict, x: Point, ids: list[int]) -> list[Point]:
+        """Of these residents those within the radius."""
+        return [state["points"][ids[i]] for i in np.flatnonzero(self.distances(state, x.values, ids) <= self.params.radius).tolist()] if ids else []
+
+    def _join(self, state: dict, x: Point, near: list[tuple[float, int]], first: int, numbers: dict, again: set[int] | None) -> bool:
+        """x becomes a member of the nearest cluster if its centre is within half the radius; the unclustered points that know the cluster hear of it."""
+        if not near or near[0][0] > self.params.radius / 2:
+            return False
+        c = near[0][1]
+        x.cluster, x.near = c, set()
+        state["clusters"][c]["members"].add(x.id)
+        numbers["joined"] += 1
+        x.judge(True)
+        for q in self._within(state, x, [i for i, q in state["free"].items() if c in q.near and (again is None or i in again)]):
+            self.heard(q, x, numbers)
+            if not q.inlier and q.count(first) >= self.params.k:
+                q.judge(True)
+        return True
 
-    def arrive(self, state: dict, x: Point, first: int, numbers: dict, rng: random.Random, again: set[int] | None) -> None:
-        """again: the points of dissolved clusters that come anew with x; only they hear of x, the others know it."""
-        p, clusters, points = self.params, state["clusters"], state["points"]
-        ids = list(clusters)
-        near = sorted((d, c) for d, c in zip(_distances(x.values, [clusters[c] for c in ids], lambda c: c["centre"]), ids, strict=True) if d <= 1.5 * p.radius)
-        if near and near[0][0] <= p.radius / 2:
-            c = near[0][1]
-            x.cluster = c
-            x.near = set()
-            clusters[c]["members"].add(x.id)
-            x.judge(True)
-            knows = [q for q in state["free"].values() if c in q.near and (again is None or q.id in again)]
-            for d, q in zip(_distances(x.values, knows), knows, strict=True):
-                if d <= p.radius:
-                    q.meet(x)
-                    if not q.inlier and q.count(first) >= p.k:
-                        q.judge(True)
-            return
-        evicted = False
+    def _make_room(self, state: dict, rng: random.Random) -> bool:
+        """Whether safe inliers had to leave the unclustered points that are searched."""
+        left = False
         while len(state["free"]) > self.pd_limit:
-            safe = [i for i, q in state["free"].items() if q.after >= p.k]
+            safe = [i for i, q in state["free"].items() if q.after >= self.params.k]
             if not safe:
                 break
             self._remove(state, state["free"][rng.choice(sorted(safe))])
-            evicted = True
+            left = True
+        return left
+
+    def _found(self, state: dict, x: Point, around: list[tuple[float, Point]], members: list[Point], numbers: dict) -> None:
+        """x is the centre of a new cluster of these members; those near it know of the cluster."""
+        c, state["next"] = state["next"], state["next"] + 1
+        numbers["made"] += 1
+        numbers["joined"] += 1 + len(members)
+        state["clusters"][c] = {"centre": x.values, "members": {x.id, *(q.id for q in members)}}
+        state["centres"] = None
+        for q in [x, *members]:
+            self._remove(state, q)
+            q.cluster, q.near = c, set()
+            q.judge(True)
+        for d, q in around:
+            if q.cluster is None and d > self.params.radius / 2:
+                q.near.add(c)
+
+    def arrive(self, state: dict, x: Point, first: int, numbers: dict, rng: random.Random, again: set[int] | None) -> None:
+        """again: the points of dissolved clusters that come anew with x; only they hear of x, the others know it."""
+        p = self.params
+        near = self._near_clusters(state, x)
+        if self._join(state, x, near, first, numbers, again):
+            return
+        evicted = self._make_room(state, rng)
+        numbers["queries"] += 1
         around = self._around(state, x, 1.5 * p.radius)
-        core = [q for d, q in around if d <= p.radius / 2]
-        ring = [q for d, q in around if p.radius / 2 < d <= p.radius / 2 + self.ring * p.radius] if evicted else []
         for d, q in around:
             if d <= p.radius:
-                self.met(x, q, first, again is None or q.id in again)
-        if len(core) + len(ring) >= p.k and core + ring:
-            c = state["next"]
-            state["next"] += 1
-            numbers["made"] += 1
-            clusters[c] = {"centre": x.values, "members": {x.id, *(q.id for q in core + ring)}}
-            for q in core + ring:
-                self._remove(state, q)
-            for q in [x, *core, *ring]:
-                q.cluster, q.near = c, set()
-                q.judge(True)
-            for d, q in around:
-                if q.cluster is None and d > p.radius / 2:
-                    q.near.add(c)
+                self.met(x, q, first, again is None or q.id in again, numbers)
+        reach = p.radius / 2 + (self.ring * p.radius if evicted else 0.0)
+        members = [q for d, q in around if d <= reach]
+        if members and len(members) >= p.k:
+            self._found(state, x, around, members, numbers)
             return
         x.near = {c for _, c in near}
-        members = [points[i] for _, c in near for i in clusters[c]["members"]]
-        for d, q in zip(_distances(x.values, members), members, strict=True):
-            if d <= p.radius:
-                x.meet(q)
+        for q in self._within(state, x, [i for c in x.near for i in state["clusters"][c]["members"]]):
+            self.heard(x, q, numbers)
         if x.after < p.k or len(state["free"]) < self.pd_limit:
             self._add(state, x)
+            numbers["listed"] += 1
         x.judge(x.count(first) >= p.k)
 
     def expire(self, state: dict, expired: list[Point], first: int, numbers: dict, rng: random.Random) -> None:
@@ -273,6 +317,7 @@ class MicroClusters(_Stateful):
             if len(state["clusters"][c]["members"]) < self.params.k + 1:
                 numbers["dissolved"] += 1
                 again += [state["points"][i] for i in state["clusters"].pop(c)["members"]]
+                state["centres"] = None
         again.sort(key=lambda x: x.id)
         for x in again:
             x.cluster, x.after, x.before, x.near = None, 0, [], set()
@@ -282,12 +327,6 @@ class MicroClusters(_Stateful):
             self.arrive(state, x, first, numbers, rng, names)
 
 
-def _distances(v: np.ndarray, others: list, values=lambda q: q.values) -> list[float]:
-    if not others:
-        return []
-    return np.sqrt(_squares(v[None], np.stack([values(q) for q in others])))[0].tolist()
-
-
 class BoundedLsh(_Stateful):
     """Residents that share a bucket count as neighbours, at whatever distance. A bucket above its capacity loses safe inliers at random."""
 
@@ -309,7 +348,8 @@ class BoundedLsh(_Stateful):
     def arrive(self, state: dict, x: Point, first: int, numbers: dict, rng: random.Random, again: set[int] | None) -> None:
         keys, tables, points = self._keys(x), state["tables"], state["points"]
         for i in sorted({i for key in keys for i in tables.get(key, ())}):
-            self.met(x, points[i], first, True)
+            self.met(x, points[i], first, True, numbers)
+        numbers["queries"] += 1
         for key in keys:
             bucket = tables.setdefault(key, [])
             while len(bucket) > self.capacity:
