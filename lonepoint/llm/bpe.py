@@ -4,7 +4,8 @@ tiktoken encodes each text by a local rank file, whose path is a parameter; the
 the vocabulary) and broadcasts the bytes. Long texts are first cut at safe boundaries, where no match of the
 pattern can cross, so that each call has bounded work: before white space that follows other characters, and, in a
 stretch without such a place, between whole matches. A single match of extreme length goes to the merge loop directly,
-as the library's regular expression engine overflows on long runs of white space. Decoding joins the raw bytes of the ids.
+as the library's regular expression engine overflows on long runs of white space. The places are safe for SAFE_PATTERN; long texts by any
+other pattern are encoded a match at a time, which is slower and needs no such place. Decoding joins the raw bytes of the ids.
 
 Defined results: null and empty texts have no ids and decode to nothing; strings of special tokens are ordinary text;
 repeated rows, null ids and extra columns pass through. An empty table gives an empty result.
@@ -25,7 +26,9 @@ from lonepoint.llm import common
 
 #: Code points above which a text is cut, about how many a part has, and above which a match is merged by itself.
 LONG, PART, HUGE = 60_000, 30_000, 20_000
-#: Before white space that follows other characters: nothing that the pattern matches has white space after another character.
+#: Fixed value: the pattern of which no match has white space after another character, so that a text can be cut before white space that
+#: follows other characters.
+SAFE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SAFE = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})")
 
 _encodings: dict[str, object] = {}
@@ -39,13 +42,18 @@ class Codec:
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.match = regex.compile(pattern)
+        self.match, self.safe = regex.compile(pattern), pattern == SAFE_PATTERN
         self.names = [str(i) for i in range(max(table.values(), default=0) + 1)]
 
     def encode(self, text: str) -> list[int]:
         if len(text) <= LONG:
             return self.encoding.encode_ordinary(text)
         out: list[int] = []
+        if not self.safe:
+            for m in self.match.finditer(text):
+                if m.end() > m.start():
+                    out += self.encoding._encode_single_piece(m.group())
+            return out
         for part, whole in self.parts(text):
             out += self.encoding._encode_single_piece(part) if whole else self.encoding.encode_ordinary(part)
         return out

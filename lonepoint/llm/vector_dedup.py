@@ -14,18 +14,19 @@ bounded memory, which compares all that it got of one with all of the other. Vec
 planes, and then the pairs of blocks are nearly all there are: the price is quadratic in a label.
 
 What is found is verified by cosine in double precision. A pair of points is in one pair of blocks only, so it counts once. Tasks
-hand on counts and a spanning forest, never the pairs. audit() measures recall against brute force for stated queries (ids
+hand on counts and a spanning forest, never the pairs. Centres are made in tasks, those of all labels in one job. audit() measures recall against brute force for stated queries (ids
 divisible by 100) over all rows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
 nothing. Vectors of different dimensions under one label link with nothing of another dimension. Repeated ids are rows
-of their own: copies of a vector link with each other. Null ids are members, but never the smallest id unless all are.
+of their own: copies of a vector link with each other. Null ids (and the largest long) are members, but never the smallest id unless all are.
 Extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,9 @@ THRESHOLD = 0.93
 SHARD, CANDIDATES, DEGREE, ALPHA, BEAM, STEP, MEDOIDS = 1500, 40, 24, 1.15, 16, 6, 8
 #: Below the threshold by this much, a point still carries the search on.
 SLACK = 0.12
-#: Vectors of a label from which its centres are taken, at most; centres compared at once.
-CENTRE_SAMPLE, MOST_CENTRES, MOST_PARTS, SEED = 1 << 15, 4096, 20_000, 11
+#: Vectors of a label from which its centres are taken, at most, and centres of a label, at most: cells with more points are several blocks. Bytes
+#: of centres that one pass over the points broadcasts, at most; labels whose centres take more go over their points in passes of their own.
+CENTRE_SAMPLE, MOST_CENTRES, CENTRE_BYTES, MOST_PARTS, SEED = 1 << 15, 4096, 32 << 20, 20_000, 11
 #: Rows that dealing points to pairs of blocks makes at once; cosines nearer to the threshold than this are computed again from the vectors as they are.
 DEALT_ROWS, UNSURE = 50_000, 1e-9
 NO_ID = (1 << 63) - 1
@@ -333,7 +335,21 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     rows = common.stored(inner.mapInArrow(_points, _POINTS), "rows")
     points = rows.filter("usable").groupBy("h1", "h2").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("rep"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("d").alias("d"), F.first("v").alias("v"))
     points = common.stored(points, "points")
-    blocks = _blocks(points, threshold)
+    links = reduce(DataFrame.unionAll, [_linked(some, blocks, threshold) for some, blocks in _passes(points, threshold)])
+    amounts = links.filter("b1 is null").groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.sum("n").alias("links"))
+    edges = links.filter("b1 is not null").select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
+    parts = components(edges).select("node.h1", "node.h2", F.struct("component.h1", "component.h2").alias("root"))
+    reach = points.select("h1", "h2", "rep").join(parts, ["h1", "h2"])
+    least = common.stored(reach.groupBy("root").agg(F.min("rep").alias("component_id")), "least", narrow=True)
+    reach = reach.join(least, "root").select("h1", "h2", "component_id")
+    told = points.select("h1", "h2", "rep", "size").join(amounts, ["h1", "h2"], "left").join(reach, ["h1", "h2"], "left")
+    told = told.filter("size > 1 or links > 0").select("h1", "h2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_id", "rep").alias("component_id"))
+    return Linked(rows.select("id", "h1", "h2"), common.stored(told, "told", narrow=True))
+
+
+def _linked(points: DataFrame, blocks: Blocks, threshold: float) -> DataFrame:
+    """Counts and links (see _links) of the points of some labels."""
+    spark = points.sparkSession
     shared = spark.sparkContext.broadcast(blocks)
     dealt = points.select("h1", "h2", "size", "label", "d", "v").mapInArrow(_dealt(shared, ["h1", "h2", "size", "label", "d", "v"]), "label string, d int, s1 long, s2 long, own long, h1 long, h2 long, size long, v binary")
     # Two partitions for each block: pairs of blocks are small in bytes and large in work, and would otherwise be put together.
@@ -347,33 +363,57 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
             columns = list(zip(*found, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names=["a1", "a2", "b1", "b2", "n"])
 
-    links = common.stored(grouped.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, n long"), "links", narrow=True)
-    amounts = links.filter("b1 is null").groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.sum("n").alias("links"))
-    edges = links.filter("b1 is not null").select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
-    parts = components(edges).select("node.h1", "node.h2", F.struct("component.h1", "component.h2").alias("root"))
-    reach = points.select("h1", "h2", "rep").join(parts, ["h1", "h2"])
-    least = common.stored(reach.groupBy("root").agg(F.min("rep").alias("component_id")), "least", narrow=True)
-    reach = reach.join(least, "root").select("h1", "h2", "component_id")
-    told = points.select("h1", "h2", "rep", "size").join(amounts, ["h1", "h2"], "left").join(reach, ["h1", "h2"], "left")
-    told = told.filter("size > 1 or links > 0").select("h1", "h2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_id", "rep").alias("component_id"))
-    return Linked(rows.select("id", "h1", "h2"), common.stored(told, "told", narrow=True))
+    return common.stored(grouped.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, n long"), "links", narrow=True)
+
 
+def _centres(points: DataFrame) -> DataFrame:
+    """label, d, n (points) and c, the centres as bytes, of the labels that are more than one block: one job for all of them, each label's
+    sample, at most CENTRE_SAMPLE points with the smallest hashes of a share of them, in one task. c is null where there is no sample."""
+    big = points.groupBy("label", "d").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * SHARD)
+    big = common.stored(big.withColumn("k", F.least(F.lit(MOST_CENTRES), F.ceil(F.col("n") / SHARD))), "big", narrow=True)
+    most = F.least(F.lit(CENTRE_SAMPLE), 16 * F.col("k"))
+    share = F.greatest(F.lit(1), F.floor(F.col("n") / (2 * most)))
+    sample = points.join(big, ["label", "d"]).filter(F.pmod("h1", share) == 0).select("label", "d", "k", most.alias("most"), "h1", "h2", "v")
 
-def _blocks(points: DataFrame, threshold: float) -> Blocks:
-    """Centres for each label and dimension, from at most CENTRE_SAMPLE of its points and at most MOST_CENTRES, and the blocks of their
-    cells. The driver gets counts by label and by cell, and the samples, a label at a time."""
-    counts = points.groupBy("label", "d").agg(F.count("*").alias("n")).collect()
-    out = {}
-    for label, d, n in sorted((r.label, r.d, r.n) for r in counts):
-        k = min(MOST_CENTRES, -(-n // SHARD) if n > 2 * SHARD else 1)
-        if k > 1:
-            most = min(CENTRE_SAMPLE, 16 * k)
-            share = max(1, n // (2 * most))
-            sample = points.filter((F.col("label") == label) & (F.col("d") == d) & (F.pmod("h1", F.lit(share)) == 0)).orderBy("h1", "h2").limit(most).select("v").collect()
-            # Without a sample one cell holds the label, and its blocks are by hash alone.
-            out[label, d] = centres_of(_unit(_vectors([bytes(r.v) for r in sample], d), d), k) if sample else np.eye(1, d)
-    blocks = Blocks(out, threshold)
-    if out:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 2):
+            label, d, k, most = group[0][:4]
+            c = centres_of(_unit(_vectors([r[6] for r in group[:most]], d), d), k)
+            yield pa.record_batch([pa.array([label], pa.string()), pa.array([d], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=["label", "d", "c"])
+
+    ordered = sample.repartition("label", "d").sortWithinPartitions("label", "d", "h1", "h2")
+    made = ordered.mapInArrow(run, "label string, d int, c binary")
+    return common.stored(big.select("label", "d", "n").join(made, ["label", "d"], "left"), "centres", narrow=True)
+
+
+def _passes(points: DataFrame, threshold: float) -> Iterator[tuple[DataFrame, Blocks]]:
+    """The points by labels, so that the centres of a pass have at most CENTRE_BYTES (or are one label's), with the blocks of their cells. The
+    first pass has all labels of one block. The driver gets a row for each label of several blocks, and the centres of one pass."""
+    spark = points.sparkSession
+    centres = _centres(points)
+    sizes = centres.select("label", "d", F.coalesce(F.length("c"), F.lit(0)).alias("bytes")).collect()
+    passes: list[list[tuple[str, int]]] = [[]]
+    held = 0
+    for r in sorted(sizes, key=lambda r: (r.label, r.d)):
+        if held + r.bytes > CENTRE_BYTES and passes[-1]:
+            passes.append([])
+            held = 0
+        passes[-1].append((r.label, r.d))
+        held += r.bytes
+    keys = [spark.createDataFrame(names, "label string, d int") for names in passes]
+    for i, names in enumerate(keys):
+        if i:
+            some = points.join(names, ["label", "d"])
+        else:
+            some = points.join(reduce(DataFrame.unionAll, keys[1:]), ["label", "d"], "left_anti") if len(keys) > 1 else points
+        rows = centres.join(names, ["label", "d"]).collect() if passes[i] else []
+        yield some, _blocks(some, {(r.label, r.d): np.frombuffer(bytes(r.c)).reshape(-1, r.d) if r.c is not None else np.eye(1, r.d) for r in rows}, threshold)
+
+
+def _blocks(points: DataFrame, centres: dict[tuple[str, int], np.ndarray], threshold: float) -> Blocks:
+    """The blocks of the cells of these centres; the driver gets a count by cell."""
+    blocks = Blocks(centres, threshold)
+    if centres:
         shared = points.sparkSession.sparkContext.broadcast(blocks)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,41 +447,42 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", **options) -> Da
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def audit(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, every: int = 100, block: int = 4096) -> DataFrame:
+def audit(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, every: int = 100, block: int = 512) -> DataFrame:
     """Recall of links for the rows whose id is divisible by `every`, against all rows by brute force: queries, links, found, recall.
 
-    The queries go to each task in blocks; a task compares them with its own rows only, so nothing but counts by query is shuffled.
+    Rows and queries meet in blocks of one label and dimension; only counts by query are shuffled after that.
     """
-    spark = vectors.sparkSession
     inner = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     rows = inner.mapInArrow(_points, _POINTS).filter("usable").select("id", "label", "d", "v")
-    total = None
-    queries = rows.filter(F.pmod("id", F.lit(every)) == 0)
-    slices = max(1, -(-queries.count() // block))
-    for k in range(slices):
-        own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(slices)) == k).collect()
-        shared = spark.sparkContext.broadcast([(r.id, r.label, r.d, bytes(r.v)) for r in own])
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            by: dict[tuple[str, int], list] = {}
-            for q in shared.value:
-                by.setdefault(q[1:3], []).append(q)
-            counts: dict[int, int] = {}
-            for batch in batches:
-                mine: dict[tuple[str, int], list] = {}
-                for i, label, d, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    mine.setdefault((label, d), []).append((i, v))
-                for key, these in mine.items():
-                    if asked := by.get(key):
-                        x = _unit(_vectors([v for _, v in these], key[1]), key[1])
-                        q = _unit(_vectors([a[3] for a in asked], key[1]), key[1])
-                        close = (q @ x.T) >= threshold
-                        for a, n in zip(asked, close.sum(1).tolist(), strict=True):
-                            counts[a[0]] = counts.get(a[0], 0) + n
-            yield pa.record_batch([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["id", "n"])
-
-        part = rows.mapInArrow(run, "id long, n long").groupBy("id").agg((F.sum("n") - 1).alias("n"))
-        total = part if total is None else total.unionAll(part)
-    found = result.select(F.col("vec_id").alias("id"), "n_links")
-    both = total.join(found, "id")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+
+        def block_of(key: tuple[str, int]) -> pa.RecordBatch:
+            some = held.pop(key)
+            x = _unit(_vectors([v for _, v in some], key[1]), key[1])
+            return pa.record_batch([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([[i for i, _ in some]], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], names=["label", "d", "ids", "x"])
+
+        for batch in batches:
+            for i, label, d, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault((label, d), []).append((i, v))
+                if len(held[label, d]) >= block:
+                    yield block_of((label, d))
+            # Many labels: not all of their beginnings at once.
+            while len(held) > 64:
+                yield block_of(next(iter(held)))
+        for key in list(held):
+            yield block_of(key)
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, x, asked, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                close = np.frombuffer(q).reshape(-1, d) @ np.frombuffer(x).reshape(-1, d).T >= threshold
+                yield pa.record_batch([pa.array(asked, pa.int64()), pa.array(close.sum(1))], names=["id", "n"])
+
+    fields = "label string, d int, ids array<long>, x binary"
+    asked = rows.filter(F.pmod("id", F.lit(every)) == 0).mapInArrow(pack, fields).select("label", "d", F.col("ids").alias("asked"), F.col("x").alias("q"))
+    met = rows.mapInArrow(pack, fields).join(asked, ["label", "d"]).select("d", "x", "asked", "q")
+    total = met.mapInArrow(compare, "id long, n long").groupBy("id").agg((F.sum("n") - 1).alias("n"))
+    both = total.join(result.select(F.col("vec_id").alias("id"), "n_links"), "id")
     return both.agg(F.count("*").alias("queries"), F.sum("n").alias("links"), F.sum(F.least("n", "n_links")).alias("found")).withColumn("recall", F.when(F.col("links") > 0, F.col("found") / F.col("links")))

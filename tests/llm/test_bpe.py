@@ -57,6 +57,17 @@ def test_long_texts(codec, library, text):
     assert codec.encode(text) == library.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("pattern", [r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+", r"\S+\s*"])
+def test_other_patterns_are_not_cut(library, monkeypatch, pattern):
+    monkeypatch.setattr(bpe, "LONG", 40)
+    monkeypatch.setattr(bpe, "PART", 20)
+    ranks = open(PATH, "rb").read()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+    text = "Ends with marks!!\n\nand 12345 more;\r\n  so  it goes...\n" * 30
+    assert bpe.Codec(ranks, pattern).encode(text) == own.encode_ordinary(text)
+    assert bpe.SAFE_PATTERN == PATTERN
+
+
 def test_runs_beyond_the_library(codec):
     text = "x" + " " * 2_000_000 + "y"
     assert codec.decode(codec.encode(text)) == text.encode()
