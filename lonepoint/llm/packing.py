@@ -6,7 +6,8 @@ time. Sequences are written as matrices of ids, with the cumulative lengths of t
 begin anew with each segment, as attention over packed segments needs them.
 
 Documents are dealt by a hash of the row to partitions and sorted there, so the packing depends on the rows and the number of
-partitions alone; a retried task packs the same again. Each task packs stretches of BLOCK_TOKENS, so its memory is
+partitions alone; a retried task packs the same again. Only rows whose id more than REPEATED rows have are dealt on by where they come from,
+so that no task gets all rows of a text that very many repeat. Each task packs stretches of BLOCK_TOKENS, so its memory is
 bounded, and a stretch leaves less than a sequence's room unused besides what best fit can't fill. A document of any length is
 many pieces of full sequences and one rest. Ids take two bytes where the vocabulary allows, else four; little-endian.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lonepoint.llm import bpe, common
 
-LENGTH, MATRIX_ROWS, BLOCK_TOKENS = 2048, 64, 1 << 20
+LENGTH, MATRIX_ROWS, BLOCK_TOKENS, REPEATED = 2048, 64, 1 << 20, 4096
 
 
 class CapacityTree:
@@ -154,7 +155,13 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int | None, parts: in
         ranks = spark.sparkContext.broadcast(f.read())
     text = common.text_of(docs, text_col)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), common.row_hash(text).alias("th"), text.alias("text"))
-    dealt = narrow.repartition(parts, F.xxhash64("id", "th")).sortWithinPartitions("id", "th").select(F.spark_partition_id().alias("part"), "id", "text")
+    salt = F.lit(0)
+    often = narrow.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > REPEATED).select(F.col("id").alias("again"))
+    often = common.stored(often, "often", narrow=True)
+    if not often.isEmpty():
+        narrow = narrow.join(often, F.col("id").eqNullSafe(F.col("again")), "left").select("id", "th", "text", (F.col("again").isNotNull() | F.col("id").isNull()).alias("many"))
+        salt = F.when(F.col("many"), F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(0)
+    dealt = narrow.repartition(parts, F.xxhash64("id", "th", salt)).sortWithinPartitions("id", "th").select(F.spark_partition_id().alias("part"), "id", "text")
     id_bytes = 2 if vocabulary <= 1 << 16 else 4
     tail = [] if end_id is None else [end_id]
 

@@ -77,6 +77,7 @@ def test_run_is_all_stages(spark, steps):
 def test_clashing_columns_and_nulls(spark):
     """Every stage over a table with extra columns named like internal ones, nulls in all columns and repeated rows."""
     data = [(1, "A first line here.\nAnd another one.", "en", "a", 1, "x", 1.0), (2, None, None, None, None, None, None), (None, "A first line here.", "en", None, 3, "y", 2.0), (1, "A first line here.\nAnd another one.", "en", "a", 1, "x", 1.0), (3, "", "en", "b", 0, None, None)]
+    data += [(4, "A very long text of many words. " * 40_000, "en", "a", 1, None, None), (5, "line\n" * 20_000, "en", "a", 1, None, None)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, kept string, size double")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DIR)
