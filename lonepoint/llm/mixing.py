@@ -9,9 +9,10 @@ its own of each source's permuted blocks, and its documents are put in an order
 the node, none from the layout of the data, so reruns agree. amounts() tells the shards and keys of every document; mix() returns
 the documents of a shard together and in its order.
 
-The driver holds numbers by source and shard only, at most MAX_QUOTAS of them; more sources than that are an error, and with
-many sources shards are larger than SHARD_WORDS. Blocks have about BLOCK_DOCS documents, so a source with a third of all rows is many
-blocks and many tasks.
+Targets and shares are computed in the plan, for any number of sources. The driver holds the tree's numbers only, at most MAX_QUOTAS of them: by shard and
+source, or, beyond UNITS sources, by shard and one of so many groups of them. The blocks of a group are permuted together and cut into the shards'
+ranges, which splits each shard's quota among the group's sources by the same distribution. Blocks have about BLOCK_DOCS documents, so a source with
+a third of all rows is many blocks and many tasks.
 
 Defined results: a null text has size 0 and is taken 0 times; null is a source of its own and the last one; a source
 without words gets target 0. Repeated rows (equal id, text and source) are documents of their own that lie side by side: they are
@@ -29,29 +30,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonepoint.llm import common
+from lonepoint.sources.points import ranked
 
 WEIGHTS, MOST = (5, 2, 1), 3
-SEED, BLOCK_DOCS, SHARD_WORDS, MAX_QUOTAS = 20240229, 512, 1 << 21, 1 << 20
+SEED, BLOCK_DOCS, SHARD_WORDS, MAX_QUOTAS, UNITS = 20240229, 512, 1 << 21, 1 << 20, 1024
 #: Rows that a table by source or shard may have to be broadcast; copies of a repeated row that one row of a plan turns into.
 SMALL, CHUNK = 10_000, 4096
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
-    """Shares of all sizes by weight; a target stops at so many times its source's size, and the excess is reshared by weight."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(sizes)
-    rest, out, free = float(sum(size.values())), {}, list(size)
-    while free:
-        total = sum(weight[s] for s in free)
-        over = [s for s in free if rest * weight[s] / total > most * size[s]]
-        if not over:
-            return out | {s: rest * weight[s] / total for s in free}
-        for s in over:
-            out[s] = float(most * size[s])
-            free.remove(s)
-        rest -= sum(out[s] for s in over)
-    return out
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """sources (source, size and others) with sid, its number from 0 in the order of code points, null last, and target: shares of all sizes by weight; a
+    target stops at so many times its source's size, and the excess is reshared by weight.
+
+    Resharing ends at one share for each unit of weight that all sources get that aren't full with it. The driver gets three sums a round.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("sid"), F.lit(len(weights))) + 1).cast("int"))
+    known = ranked(sources, F.col("source").asc_nulls_last(), name="rank").withColumn("sid", (F.col("rank") - 1).cast("int")).drop("rank")
+    known = common.stored(known.withColumn("weight", weight.cast("double")), "sources", narrow=True)
+    full = F.lit(float(most)) * F.col("size")
+    total, share = None, -1.0
+    while True:
+        r = known.agg(F.sum("size").alias("all_"), F.sum(F.when(full < F.lit(share) * F.col("weight"), full).otherwise(0.0)).alias("used"), F.sum(F.when(full < F.lit(share) * F.col("weight"), 0.0).otherwise(F.col("weight"))).alias("left")).head()
+        total = float(r["all_"] or 0)
+        now = (total - r.used) / r.left if r.left else share
+        if now <= share:
+            return known.withColumn("target", F.least(full, F.lit(max(share, 0.0)) * F.col("weight"))).drop("weight")
+        share = now
 
 
 def splitting_tree(counts: list[int], shards: int, seed: int = SEED) -> np.ndarray:
@@ -126,18 +130,16 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     text = common.text_of(docs, text_col)
     narrow = docs.select(F.col(id_col).cast("long").alias("k0"), F.col(source_col).cast("string").alias("k1"), common.row_hash(text).alias("th"), text.alias("text"))
     sized = common.stored(narrow.mapInArrow(_count, _SIZES), "sizes")
-    by_source = sized.groupBy("k1").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).limit(MAX_QUOTAS).collect()
-    if len(by_source) >= MAX_QUOTAS:
-        raise ValueError(f"over {MAX_QUOTAS} sources")
-    sources = sorted(((r.k1, r["size"], r.n) for r in by_source), key=lambda x: (x[0] is None, x[0] or ""))
-    target = targets([x[:2] for x in sources], weights, most)
+    by_source = sized.groupBy(F.col("k1").alias("source")).agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n"))
+    sources = common.stored(targets(by_source, weights, most), "targets", narrow=True)
+    many, total = sources.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
 
     # The order within a source: by a hash of the row, cut into blocks of equal ranges of it.
-    counts = spark.createDataFrame([(s, k, max(1, -(-n // BLOCK_DOCS))) for k, (s, _, n) in enumerate(sources)], "s string, sid int, blocks long")
+    counts = sources.select(F.col("source").alias("s"), "sid", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_DOCS)).alias("blocks"))
     order = F.xxhash64(F.lit(seed), "k0", "th")
     # 31 bits of the hash, scaled: block = floor(bits * blocks / 2^31).
     block = F.floor(F.shiftrightunsigned(order, 33) * F.col("blocks") / F.lit(float(1 << 31))).cast("long")
-    placed = sized.join(_small(counts, len(sources)), F.col("k1").eqNullSafe(F.col("s"))).select("k0", "k1", "th", "size", "n", "sid", order.alias("o"), block.alias("block"))
+    placed = sized.join(_small(counts, many), F.col("k1").eqNullSafe(F.col("s"))).select("k0", "k1", "th", "size", "n", "sid", order.alias("o"), block.alias("block"))
     blocks = placed.groupBy("sid", "block").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     # The running sum over blocks, with a row for each block of up to BLOCK_DOCS documents, in two levels of up to 1024 blocks.
     inner = Window.partitionBy("sid", "g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,27 +150,29 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     first = common.stored(blocks.join(bases, ["sid", "g"]).select("sid", "block", "words", (F.col("inside") + F.col("base")).alias("begin")), "blocks", narrow=True)
 
     # A source's blocks that each epoch takes, whole or in part.
-    epochs = [(k, e, max(0.0, min(float(size), target[s] - e * size))) for k, (s, size, _) in enumerate(sources) for e in range(most) if size and target[s] - e * size > 0]
-    wanted = spark.createDataFrame(epochs or [(-1, 0, 0.0)], "sid int, epoch int, cut double")
-    draws = first.filter("words > 0").join(_small(wanted, len(epochs)), "sid").filter("begin < cut").select("sid", "block", "epoch", "cut")
-    have = {r.sid: r.n for r in draws.groupBy("sid").agg(F.count("*").alias("n")).collect()}
+    cut = F.least(F.col("size").cast("double"), F.col("target") - F.col("epoch") * F.col("size"))
+    wanted = sources.withColumn("epoch", F.explode(F.array(*map(F.lit, range(most))))).select("sid", "epoch", cut.alias("cut")).filter("cut > 0")
+    unit = F.col("sid") if many <= UNITS else F.pmod("sid", F.lit(UNITS))
+    draws = first.filter("words > 0").join(_small(wanted, most * many), "sid").filter("begin < cut").select("sid", unit.alias("unit"), "block", "epoch", "cut")
+    have = {r.unit: r.n for r in draws.groupBy("unit").agg(F.count("*").alias("n")).collect()}
+    units = sorted(have)
     shards = 1
-    while shards * shard_words < sum(target.values()) and shards * 2 * max(1, len(sources)) <= MAX_QUOTAS:
+    while shards * shard_words < total and shards * 2 * max(1, len(units)) <= MAX_QUOTAS:
         shards *= 2
-    quota = splitting_tree([have.get(k, 0) for k in range(len(sources))], shards, seed)
+    quota = splitting_tree([have[u] for u in units], shards, seed)
     # Block instances by rank in an order of their own: a random permutation that shards cut into disjoint ranges. A range is listed under
     # the stretches of ranks that it lies in, so that the join finds it by equality.
     ends, ranges, step = quota.cumsum(0), [], {}
-    for k in have:
-        step[k] = max(1, have[k] // shards)
+    for k, u in enumerate(units):
+        step[u] = max(1, have[u] // shards)
         for i in np.flatnonzero(quota[:, k]).tolist():
             low, high = int(ends[i, k] - quota[i, k]), int(ends[i, k])
-            ranges += [(k, stretch, i, low, high) for stretch in range(low // step[k], (high - 1) // step[k] + 1)]
-    table = spark.createDataFrame(ranges or [(-1, 0, 0, 0, 0)], "sid int, stretch long, shard int, low long, high long")
-    steps = spark.createDataFrame(list(step.items()) or [(-1, 1)], "sid int, step long")
-    ranked = _ranks(draws.withColumn("r", F.xxhash64(F.lit(seed + 1), "sid", "block", "epoch")))
-    ranked = ranked.join(_small(steps, len(step)), "sid").withColumn("stretch", F.floor(F.col("rank") / F.col("step")))
-    drawn = ranked.join(_small(table, len(ranges)), ["sid", "stretch"]).filter("rank >= low and rank < high")
+            ranges += [(u, stretch, i, low, high) for stretch in range(low // step[u], (high - 1) // step[u] + 1)]
+    table = spark.createDataFrame(ranges or [(-1, 0, 0, 0, 0)], "unit int, stretch long, shard int, low long, high long")
+    steps = spark.createDataFrame(list(step.items()) or [(-1, 1)], "unit int, step long")
+    ranked_ = _ranks(draws.withColumn("r", F.xxhash64(F.lit(seed + 1), "sid", "block", "epoch")))
+    ranked_ = ranked_.join(F.broadcast(steps), "unit").withColumn("stretch", F.floor(F.col("rank") / F.col("step")))
+    drawn = ranked_.join(_small(table, len(ranges)), ["unit", "stretch"]).filter("rank >= low and rank < high")
     # A block's epochs, at most `most` of them.
     drawn = drawn.groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "cut"))).alias("cuts"))
     cuts = common.stored(first.join(drawn, ["sid", "block"], "left").select("sid", "block", "begin", "cuts"), "cuts", narrow=True)
@@ -183,17 +187,17 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     takes = F.filter(F.transform(F.coalesce("cuts", F.array()), lambda c: F.struct(c["epoch"].alias("epoch"), c["shard"].alias("shard"), t(c["cut"]).alias("t"))), lambda x: x["t"] > 0)
     none = F.array().cast("array<struct<epoch:int,shard:int,t:bigint>>")
     rows = same.join(cuts, ["sid", "block"]).select("k0", "k1", "th", "size", "n", "sid", "block", F.when(F.col("size") > 0, takes).otherwise(none).alias("takes"))
-    totals = spark.createDataFrame([(k, size, target[s]) for k, (s, size, _) in enumerate(sources)], "sid int, source_size long, target double")
-    return Mix(common.stored(rows, "rows"), _small(totals, len(sources)), shards, seed)
+    totals = sources.select("sid", F.col("size").alias("source_size"), "target")
+    return Mix(common.stored(rows, "rows"), _small(totals, many), shards, seed)
 
 
 def _ranks(instances: DataFrame) -> DataFrame:
-    """rank: the place in its source by r, from 0; first by 1024 ranges of r, then within each, so that no source is one task."""
+    """rank: the place in its unit by r, from 0; first by 1024 ranges of r, then within each, so that no source is one task."""
     x = instances.withColumn("part", F.shiftrightunsigned("r", 54))
-    counts = x.groupBy("sid", "part").agg(F.count("*").alias("n"))
-    before = counts.select("sid", "part", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("sid", "part").orderBy("r", "block", "epoch")) - 1
-    return x.withColumn("inside", inside).join(before, ["sid", "part"]).withColumn("rank", F.col("inside") + F.col("before"))
+    counts = x.groupBy("unit", "part").agg(F.count("*").alias("n"))
+    before = counts.select("unit", "part", F.coalesce(F.sum("n").over(Window.partitionBy("unit").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("unit", "part").orderBy("r", "sid", "block", "epoch")) - 1
+    return x.withColumn("inside", inside).join(before, ["unit", "part"]).withColumn("rank", F.col("inside") + F.col("before"))
 
 
 def amounts(docs: DataFrame, **options) -> DataFrame:

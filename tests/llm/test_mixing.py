@@ -3,17 +3,48 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lonepoint.llm import mixing
 
 
-def test_targets_reshare_the_excess():
-    got = mixing.targets([("a", 10), ("b", 1000), ("c", 1000), (None, 500), ("d", 0)])
-    assert got["a"] == 30 and got["d"] == 0 and got["b"] <= 3000
-    assert abs(sum(got.values()) - 2510) < 1e-6
-    # weights 5, 2, 1, 5, 2 in the order a b c d null; what a and d leave is shared 2 : 1 : 2, and null stops at 1500
-    assert abs(got["b"] / got["c"] - 2) < 1e-9 and got[None] <= 1500
+def targets(sizes, weights=(5, 2, 1), most=3):
+    """Shares of all sizes by weight, resharing what is above so many times a source's size, round by round."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
+    size = dict(sizes)
+    rest, out, free = float(sum(size.values())), {}, list(size)
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if rest * weight[s] / total > most * size[s]]
+        if not over:
+            return out | {s: rest * weight[s] / total for s in free}
+        for s in over:
+            out[s] = float(most * size[s])
+            free.remove(s)
+        rest -= sum(out[s] for s in over)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_reshare_the_excess(spark, seed):
+    rng = random.Random(seed)
+    sizes = [("a", 10), ("b", 1000), ("c", 1000), (None, 500), ("d", 0), ("é", 3), ("Z", 7)] if not seed else [(f"s{rng.random()}", int(10 ** rng.uniform(0, 5))) for _ in range(40)]
+    got = {r.source: (r.sid, r.target) for r in mixing.targets(spark.createDataFrame(sizes, "source string, size long")).collect()}
+    want = targets(sizes)
+    assert all(abs(got[s][1] - want[s]) < 1e-6 * max(1, want[s]) for s, _ in sizes) and abs(sum(want.values()) - sum(n for _, n in sizes)) < 1e-6
+    assert [s for s, _ in sorted(got.items(), key=lambda x: x[1][0])] == sorted(dict(sizes), key=lambda s: (s is None, s or ""))
+    assert mixing.targets(spark.createDataFrame([("a", 0)], "source string, size long")).head().target == 0
+
+
+def test_groups_of_many_sources(frame, monkeypatch):
+    """More sources than the tree has columns: targets and amounts are the same, and shards get what the tree gave to the groups."""
+    docs = [(i, "w " * (i % 23), f"s{i % 37}") for i in range(700)]
+    plain = {(r.doc_id, r.target, r.times) for r in mixing.amounts(frame(docs), shard_words=500).collect()}
+    monkeypatch.setattr(mixing, "UNITS", 5)
+    got = mixing.amounts(frame(docs), shard_words=500).collect()
+    assert {(r.doc_id, r.target, r.times) for r in got} == plain and len({s for r in got for s in r.shards}) > 8
 
 
 def test_splitting_tree_is_exact():
@@ -38,7 +69,7 @@ def test_amounts(frame, spark):
     per = Counter()
     for d in size:
         per[source[d]] += size[d]
-    want = mixing.targets(list(per.items()))
+    want = targets(list(per.items()))
     taken = Counter()
     for r in got:
         assert r["size"] == size[r.doc_id] and r.source_size == per[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6

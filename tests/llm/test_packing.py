@@ -57,10 +57,10 @@ def test_round_trip(frame):
 
 def test_a_row_that_very_many_repeat_is_dealt_to_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(packing, "REPEATED", 100)
-    docs = spark.range(3000).selectExpr("if(id % 3 = 0, 5, id) AS doc_id", "if(id % 3 = 0, 'again and again', concat('text ', id)) AS text")
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, -5, id) AS doc_id", "if(id % 3 = 0, 'again and again', concat('text ', id)) AS text")
     got = packing.pack(docs, PATH, PATTERN, 50256, parts=8, length=64).select("part", "doc_ids").collect()
     per = {}
     for m in got:
-        per[m.part] = per.get(m.part, 0) + sum(d.count(5) for d in m.doc_ids)
+        per[m.part] = per.get(m.part, 0) + sum(d.count(-5) for d in m.doc_ids)
     assert sum(per.values()) == 1000 and max(per.values()) < 250
     assert sum(len(d) for m in got for d in m.doc_ids) == 3000
