@@ -6,11 +6,12 @@ similarity (1 - Levenshtein distance / longer length, in code points) is SIMILAR
 connected by equal or near, one occurrence stays: that in the document with the smallest id, and there the first.
 All other occurrences go from the texts.
 
-Lines within the distance agree in one of DISTANCE + 1 blocks of bits (pigeonhole), or in two of DISTANCE + 2, and so on:
-masks() takes the most bits that keep buckets small for the number of lines; all choices find the same pairs. The
-first pass over buckets carries hashes only and keeps the lines that have another within the distance; the second carries the
-texts of these alone. Large buckets are dealt over blocks, pairs of blocks being tasks of bounded memory. A task searches its
-lines group by group and verifies a pair only if it joins a new line to the group, so n near lines give n - 1 links.
+Lines within the distance agree in r of DISTANCE + r blocks of bits (pigeonhole); Tables takes the least r that keeps buckets small for
+the number of lines, and all choices find the same pairs. The first pass carries hashes only. It deals them by r - 1 blocks, a table for each choice of these; a task sorts
+its rows by one block more, compares within these small buckets, and keeps the hashes that have another within the distance. Of each pair the
+lowest r - 1 blocks that agree name the one table that it belongs to. The second pass carries the texts of these lines alone. Large buckets are dealt
+over blocks of members, pairs of which are tasks of bounded memory. A task searches its lines group by group and verifies a pair only if it joins a
+new line to the group, so n near lines give n - 1 links.
 
 Defined results: lines with an empty normal form are kept and never compared. Null texts stay null. Null ids come after
 all others. Repeated rows (equal id and text) are one document: they keep the same lines. A text of which every line
@@ -29,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonepoint.llm import common
-from lonepoint.llm.graph import block_of, components, distinct_buckets, groups
+from lonepoint.llm.graph import block_of, components, groups
 from lonepoint.llm.textvec import Words, blocks, mix
 
-DISTANCE, SIMILARITY = 3, 0.8
-#: Lines in a bucket on average, up to which more bits don't pay; members and bytes of a block.
-BUCKET, BLOCK_ROWS, BLOCK_BYTES = 4096, 1024, 4 << 20
-#: Hashes that a block of the first pass has, about; one of how many lines shows which buckets are larger; rows of that list that may be broadcast.
-BUCKET_ROWS, SAMPLE, MOST_BROADCAST = 16_384, 16, 100_000
+DISTANCE, SIMILARITY = 6, 0.8
+#: Lines in a bucket of r blocks on average, up to which more bits don't pay; members and bytes of a block.
+BUCKET, BLOCK_ROWS, BLOCK_BYTES = 1024, 1024, 4 << 20
+#: Hashes that a group of the first pass has, about; one of how many lines shows which are larger; rows of that list that may be broadcast; hashes
+#: of a bucket from which it is compared as a matrix.
+GROUP_ROWS, SAMPLE, MOST_BROADCAST, MATRIX = 1 << 18, 16, 100_000, 48
 NO_ID = (1 << 63) - 1
 
 _DELETE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -80,15 +82,82 @@ def simhash(lines: list[bytes]) -> np.ndarray:
     return out
 
 
-def masks(lines: int, distance: int = DISTANCE) -> list[int]:
-    """Masks such that two numbers within the distance agree in all bits of one of them: of distance + k blocks, k at a time."""
-    for k in range(1, 5):
-        m = distance + k
+class Tables:
+    """Blocks of bits such that two numbers within the distance agree in at least r of distance + r blocks. A table is a choice of r - 1 of all
+    blocks but the last; a pair belongs to that of the lowest r - 1 blocks in which it agrees."""
+
+    def __init__(self, lines: int, distance: int = DISTANCE):
+        self.distance = distance
+        for r in range(2, 6):
+            m = distance + r
+            if lines / 2 ** (64 * r / m) <= BUCKET:
+                break
         edges = [64 * i // m for i in range(m + 1)]
-        block = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(m)]
-        if lines / 2 ** (64 * k / m) <= BUCKET or k == 4:
-            return [sum(block[i] for i in chosen) for chosen in combinations(range(m), k)]
-    raise AssertionError
+        self.r, self.blocks = r, [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(m)]
+        self.chosen = list(combinations(range(m - 1), r - 1))
+
+    def mask(self, table: int) -> int:
+        return sum(self.blocks[i] for i in self.chosen[table])
+
+    def owns(self, table: int, differ: np.ndarray) -> np.ndarray:
+        """Whether pairs belong to the table, from the bits in which they differ."""
+        out, last = np.ones(differ.shape, bool), self.chosen[table][-1]
+        for i in range(last + 1):
+            same = (differ & np.uint64(self.blocks[i])) == 0
+            out &= same if i in self.chosen[table] else ~same
+        return out
+
+    def near(self, table: int, sims: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Which of these hashes are in a pair within the distance that belongs to the table. group: numbers in ascending order; pairs are sought
+        within runs of equal ones, in which all hashes agree in the table's blocks (or they belong to no pair of it)."""
+        found = np.zeros(len(sims), bool)
+        order = np.lexsort((sims, group))
+        s, g = sims[order], group[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (g[1:] != g[:-1])
+        if self.chosen[table] == tuple(range(self.r - 1)):  # equal hashes agree in all blocks
+            twice = ~new
+            twice[:-1] |= ~new[1:]
+            found[order[twice]] = True
+        place = np.flatnonzero(new)
+        s, g = s[place], g[place]
+        hit = np.zeros(len(s), bool)
+        for i in range(self.chosen[table][-1] + 1, len(self.blocks)):
+            self._within(table, s, g, np.uint64(self.blocks[i]), hit)
+        # Repeats of a hash share what was found of the first.
+        found[order] |= hit[np.cumsum(new) - 1]
+        return found
+
+    def _within(self, table: int, s: np.ndarray, g: np.ndarray, block: np.uint64, hit: np.ndarray) -> None:
+        """Mark the hashes of pairs of one group that agree in one more block."""
+        order = np.lexsort((s & block, g))
+        x, h = s[order], g[order]
+        k = x & block
+        edges = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1]), [True]]))
+        sizes = np.diff(edges)
+        mine = np.zeros(len(x), bool)
+        # Small buckets all at once: each hash with the next one of its bucket, the one after it, and so on.
+        left = np.repeat(np.where(sizes < MATRIX, edges[1:], edges[:-1]), sizes) - np.arange(len(x))  # places up to the bucket's end
+        at = np.flatnonzero(left > 1)
+        for step in range(1, MATRIX):
+            at = at[left[at] > step]
+            if not len(at):
+                break
+            differ = x[at] ^ x[at + step]
+            close = np.bitwise_count(differ) <= self.distance
+            if close.any():
+                pair = at[close][self.owns(table, differ[close])]
+                mine[pair] = mine[pair + step] = True
+        for a, b in zip(edges[:-1][sizes >= MATRIX].tolist(), edges[1:][sizes >= MATRIX].tolist(), strict=True):
+            for i in range(a, b, 512):
+                for j in range(i, b, 4096):
+                    rows, columns = np.nonzero(np.bitwise_count(x[i : min(i + 512, b), None] ^ x[None, j : min(j + 4096, b)]) <= self.distance)
+                    rows, columns = rows + i, columns + j
+                    apart = rows < columns
+                    rows, columns = rows[apart], columns[apart]
+                    own = self.owns(table, x[rows] ^ x[columns])
+                    mine[rows[own]] = mine[columns[own]] = True
+        hit[order] |= mine
 
 
 def _middles(a: str, b: str) -> tuple[str, str]:
@@ -168,45 +237,25 @@ def _line_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def near_rows(sims: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
-    """Which of these hashes have another within the distance, block by block."""
-    n = len(sims)
-    out = np.zeros(n, bool)
-    for i in range(0, n, 512):
-        for j in range(i, n, 4096):
-            close = np.bitwise_count(sims[i : i + 512, None] ^ sims[None, j : j + 4096]) <= distance
-            rows, columns = np.nonzero(close)
-            other = rows + i != columns + j
-            out[rows[other] + i] = True
-            out[columns[other] + j] = True
-    return out
-
-
-def _candidates(distance: int):
-    """The members of buckets that have another within the distance. Rows come sorted by key and pair of blocks."""
+def _candidates(tables: Tables):
+    """The hashes of each table that have another within the distance, from rows of group and hash, sorted by group; the low byte of a group is the table."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        names = ["key", "h1", "h2"]
 
-        def dealt(parts: list[pa.RecordBatch], whole: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
+        def dealt(parts: list[pa.RecordBatch], whole: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
             """What the complete groups give, and the rest."""
             table = pa.Table.from_batches(parts).combine_chunks()
-            key, bi, bj, h1, h2, sim = (table.column(i).to_numpy() for i in range(6))
-            new = np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
-            edges = np.concatenate([[0], new, [len(key)] if whole else []]).astype(np.int64)
-            found = np.zeros(len(key), bool)
-            u = sim.view(np.uint64)
-            sizes = np.diff(edges)
-            two = edges[:-1][sizes == 2]
-            close = np.bitwise_count(u[two] ^ u[two + 1]) <= distance
-            found[two[close]] = found[two[close] + 1] = True
-            for a, b in zip(edges[:-1][sizes > 2].tolist(), edges[1:][sizes > 2].tolist(), strict=True):
-                found[a:b] = near_rows(u[a:b], distance)
-            out = pa.record_batch([pa.array(key[found]), pa.array(h1[found]), pa.array(h2[found])], names=names)
-            return out, table.slice(int(edges[-1])).to_batches()
-
-        rows, most = 0, 100_000
+            group, sim = (table.column(i).to_numpy() for i in range(2))
+            end = len(group) if whole else int(np.searchsorted(group, group[-1]))
+            group, sim = group[:end], sim[:end].view(np.uint64)
+            which = group & 255
+            found = [(t, np.unique(sim[rows][tables.near(t, sim[rows], group[rows])])) for t in np.unique(which).tolist() for rows in [np.flatnonzero(which == t)]]
+            of = np.concatenate([np.zeros(0, np.int32), *(np.full(len(x), t, np.int32) for t, x in found)])
+            out = pa.record_batch([pa.array(of, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *(x for _, x in found)]).view(np.int64))], names=["t", "sim"])
+            return out, table.slice(end).to_batches()
+
+        rows, most = 0, GROUP_ROWS
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
@@ -214,7 +263,7 @@ def _candidates(distance: int):
                 if rows > most:
                     out, held = dealt(held, False)
                     rows = sum(b.num_rows for b in held)
-                    most = rows + 100_000
+                    most = rows + GROUP_ROWS
                     yield out
         if held:
             yield dealt(held, True)[0]
@@ -224,8 +273,8 @@ def _candidates(distance: int):
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The candidate lines of each document with their buckets, a row for each pair of blocks."""
-    names = ["key", "bi", "bj", "h1", "h2", "block", "sim", "keys", "line"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    names = ["key", "bi", "bj", "h1", "h2", "block", "sim", "line"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
     rows: list[tuple] = []
     held = 0
 
@@ -238,11 +287,10 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = normal_lines(raw or b"")
             for x in wanted:
                 line = lines[x["pos"]].decode("utf-8", "surrogatepass")
-                keys = [b["key"] for b in x["buckets"]]
                 for b in x["buckets"]:
                     k, mine = b["blocks"], block_of(x["h1"], x["h2"], b["blocks"])
                     for other in range(k):
-                        rows.append((b["key"], min(mine, other), max(mine, other), x["h1"], x["h2"], mine, x["sim"], keys, line))
+                        rows.append((b["key"], min(mine, other), max(mine, other), x["h1"], x["h2"], mine, x["sim"], line))
                         held += len(line) + 100
             if held > 4 << 20:
                 yield dealt()
@@ -250,13 +298,12 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield dealt()
 
 
-def _links(distance: int, least: float):
+def _links(tables: Tables, least: float):
     def verified(group: list[tuple]) -> Iterator[tuple]:
         key, bi, bj = group[0][:3]
         # In order of the hashes, and each found line linked to the first of its group, which is the smallest.
         unique = sorted({r[3:5]: r for r in group}.values(), key=lambda r: r[3:5])
         n = len(unique)
-        keys = [frozenset(r[7]) for r in unique]
         sims = np.array([r[6] for r in unique], np.int64).view(np.uint64)
         block = np.array([r[5] for r in unique])
         fresh = np.ones(n, bool)
@@ -267,12 +314,14 @@ def _links(distance: int, least: float):
             todo = [i]
             while todo:
                 at = todo.pop()
-                near = fresh & (np.bitwise_count(sims ^ sims[at]) <= distance)
+                differ = sims ^ sims[at]
+                # A pair belongs to one table, and so to one bucket.
+                near = np.flatnonzero(fresh & (np.bitwise_count(differ) <= tables.distance))
+                near = near[tables.owns(key & 255, differ[near])]
                 if bi != bj:
-                    near &= block != block[at]
-                for j in np.flatnonzero(near).tolist():
-                    # A pair belongs to one of the buckets that both have.
-                    if (len(keys[at]) == 1 or min(keys[at] & keys[j]) == key) and similar(unique[at][8], unique[j][8], least):
+                    near = near[block[near] != block[at]]
+                for j in near.tolist():
+                    if similar(unique[at][7], unique[j][7], least):
                         fresh[j] = False
                         todo.append(j)
                         yield (*unique[i][3:5], *unique[j][3:5])
@@ -308,30 +357,37 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unique = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("len").alias("len"))
     unique = common.stored(unique, "unique")
 
-    # First pass: hashes only.
-    chosen = masks(unique.count(), distance)
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(chosen)))
-    hashed = unique.select("h1", "h2", "sim", F.explode(keys).alias("key"))
-    # How many blocks a large bucket gets is estimated from a sample; the pairs found don't depend on it.
+    # First pass: hashes only. A key is the hash of a table's bits; its low byte is the table.
+    tables = Tables(unique.count(), distance)
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+    low = lambda h, t: h.bitwiseAND(F.lit(-256)).bitwiseOR(t)
+    key_of = lambda t: low(F.xxhash64(F.lit(t), F.col("sim").bitwiseAND(signed(tables.mask(t)))), F.lit(t).cast("long"))
+    hashed = unique.select("h1", "sim", F.explode(F.array(*(key_of(t) for t in range(len(tables.chosen))))).alias("key"))
+    # How many blocks a large group gets is estimated from a sample; the pairs found don't depend on it.
     seen = hashed.filter(F.pmod("h1", F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
-    large = common.stored(seen.filter(F.col("n") * SAMPLE > BUCKET_ROWS).select("key", F.ceil(F.col("n") * SAMPLE / BUCKET_ROWS).cast("int").alias("k")), "large", narrow=True)
-    large = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
-    sized = hashed.join(large, "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    mine = F.pmod(F.shiftright("h1", 8), F.col("k")).cast("int")
-    paired = sized.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = paired.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "h1", "h2", "sim")
-    dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    near = common.stored(dealt.mapInArrow(_candidates(distance), "key long, h1 long, h2 long").distinct(), "near", narrow=True)
+    large = common.stored(seen.filter(F.col("n") * SAMPLE > GROUP_ROWS).select("key", F.ceil(F.col("n") * SAMPLE / GROUP_ROWS).cast("int").alias("k")), "large", narrow=True)
+    count = large.count()
+    dealt = hashed.select(F.col("key").alias("g"), "sim")
+    if count:
+        sized = hashed.join(F.broadcast(large) if count <= MOST_BROADCAST else large, "key", "left")
+        mine = F.pmod(F.shiftright("h1", 8), F.col("k")).cast("int")
+        paired = sized.withColumn("mine", mine).withColumn("other", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("k") - 1), F.array(F.lit(-1)))))
+        pair = low(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")), F.col("key").bitwiseAND(F.lit(255)))
+        dealt = paired.select(F.when(F.col("k").isNull(), F.col("key")).otherwise(pair).alias("g"), "sim")
+    dealt = dealt.repartition("g").sortWithinPartitions("g")
+    near = common.stored(dealt.mapInArrow(_candidates(tables), "t int, sim long").distinct(), "near", narrow=True)
 
     # Second pass: the texts of the lines that the first has found.
-    weighed = near.join(unique.select("h1", "h2", "first", "sim", "len"), ["h1", "h2"])
+    keys = F.element_at(F.array(*(key_of(t) for t in range(len(tables.chosen)))), F.col("t") + 1)
+    weighed = near.join(unique.select("h1", "h2", "first", "sim", "len"), "sim").select("h1", "h2", "first", "sim", "len", keys.alias("key"))
     weighed = common.stored(weighed, "weighed", narrow=True)
-    kept = distinct_buckets(weighed, "len", BLOCK_ROWS, BLOCK_BYTES)
+    blocks_ = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("len") / BLOCK_BYTES), F.lit(1)).cast("int")
+    kept = weighed.groupBy("key").agg(F.count("*").alias("n"), blocks_.alias("blocks")).filter("n > 1").select("key", "blocks")
     listed = weighed.join(kept, "key").groupBy("h1", "h2", "first", "sim").agg(F.collect_list(F.struct("key", "blocks")).alias("buckets"))
     wanted = listed.groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "sim", "buckets")).alias("wanted"))
-    texts = narrow.join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(_texts, "key long, bi int, bj int, h1 long, h2 long, block int, sim long, keys array<long>, line string")
+    texts = narrow.join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(_texts, "key long, bi int, bj int, h1 long, h2 long, block int, sim long, line string")
     texts = texts.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    links = texts.mapInArrow(_links(distance, least), "a1 long, a2 long, b1 long, b2 long")
+    links = texts.mapInArrow(_links(tables, least), "a1 long, a2 long, b1 long, b2 long")
     edges = common.stored(links.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b")), "edges", narrow=True)
     parts = components(edges).select("node.h1", "node.h2", F.struct("component.h1", "component.h2").alias("root"))
 

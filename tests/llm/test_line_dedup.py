@@ -42,26 +42,39 @@ def test_simhash_is_the_majority_of_bits():
         assert sim == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("lines", [1000, 10**9, 10**12, 10**15])
-def test_masks_find_every_pair_within_the_distance(lines):
-    chosen = L.masks(lines)
+@pytest.mark.parametrize("distance", [3, 6])
+@pytest.mark.parametrize("lines", [1000, 10**9, 10**11, 10**13])
+def test_every_pair_within_the_distance_has_one_table(lines, distance):
+    tables = L.Tables(lines, distance)
     rng = random.Random(lines)
-    for _ in range(2000):
-        flips = sum(1 << b for b in rng.sample(range(64), rng.randrange(4)))
-        assert any(not flips & m for m in chosen)
-    assert lines < 10**6 or len(chosen) > 4
-
-
-def test_near_rows_against_brute_force():
+    assert len(tables.chosen) < 256 and sum(tables.blocks) == (1 << 64) - 1
+    flips = np.array([sum(1 << b for b in rng.sample(range(64), rng.randrange(distance + 1))) for _ in range(2000)], np.uint64)
+    owners = np.array([tables.owns(t, flips) for t in range(len(tables.chosen))])
+    assert (owners.sum(0) == 1).all()
+    for i, t in enumerate(owners.argmax(0).tolist()):
+        assert not int(flips[i]) & tables.mask(t)
+        assert any(not int(flips[i]) & b for b in tables.blocks[tables.chosen[t][-1] + 1 :])
+    assert tables.r > 2 or lines < 10**6 or distance < 6
+
+
+@pytest.mark.parametrize("matrix", [2, 48])
+@pytest.mark.parametrize("lines", [1000, 10**9])
+def test_near_hashes_against_brute_force(monkeypatch, matrix, lines):
+    monkeypatch.setattr(L, "MATRIX", matrix)
     rng = random.Random(4)
-    base = [rng.getrandbits(64) for _ in range(900)]
-    sims = np.array(base + [b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base[:300]], np.uint64)
-    x = sims.tolist()
-    want = [any(i != j and (x[i] ^ x[j]).bit_count() <= 3 for j in range(len(x))) for i in range(len(x))]
-    assert L.near_rows(sims).tolist() == want
-
-
-def brute(rows, distance=3, least=0.8):
+    base = [rng.getrandbits(64) for _ in range(300)]
+    flipped = lambda b: b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(9)))
+    x = base + [flipped(rng.choice(base[:60])) for _ in range(400)] + base[:5]
+    sims, tables = np.array(x, np.uint64), L.Tables(lines)
+    got = np.zeros(len(x), bool)
+    for t in range(len(tables.chosen)):
+        group = (sims & np.uint64(tables.mask(t))).view(np.int64)
+        rows = np.argsort(group, kind="stable")
+        got[rows] |= tables.near(t, sims[rows], group[rows])
+    assert got.tolist() == [any(i != j and (x[i] ^ x[j]).bit_count() <= 6 for j in range(len(x))) for i in range(len(x))]
+
+
+def brute(rows, distance=6, least=0.8):
     """By pairs of all different lines, from the definitions."""
     forms = [(d, t, L.normal_lines((t or "").encode())) for d, t in rows]
     unique = sorted({x for *_, f in forms for x in f if x})
@@ -105,7 +118,7 @@ def corpus(seed):
 def test_against_brute_force(frame, monkeypatch, seed):
     if seed == 2:  # every bucket over several blocks
         monkeypatch.setattr(L, "BLOCK_ROWS", 2)
-        monkeypatch.setattr(L, "BUCKET_ROWS", 8)
+        monkeypatch.setattr(L, "GROUP_ROWS", 8)
         monkeypatch.setattr(L, "SAMPLE", 1)
     rows = corpus(seed)
     docs = frame(rows)
