@@ -97,9 +97,20 @@ def test_every_link_has_its_pair_of_blocks():
         assert (min(own[i], own[j]), max(own[i], own[j])) in pairs[i] & pairs[j]
 
 
-def test_audit(spark):
+def test_labels_in_passes_of_their_own(spark, monkeypatch):
+    """Centres beyond the bound of a broadcast: every large label in a pass, small ones in the first."""
+    monkeypatch.setattr(V, "SHARD", 40)
+    monkeypatch.setattr(V, "CENTRE_BYTES", 1)
+    rows = [(*r[:2], None if r[2] is None else r[2] if i % 9 else 7) for i, r in enumerate(corpus(5))]
+    got = V.near_duplicates(spark.createDataFrame([(*r, 5) for r in rows], SCHEMA).repartition(3))
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got.collect()), key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("shard", [1500, 60])
+def test_audit(spark, monkeypatch, shard):
+    monkeypatch.setattr(V, "SHARD", shard)
     frame = spark.createDataFrame([(*r, 5) for r in corpus(3)], SCHEMA)
-    r = V.audit(frame, V.near_duplicates(frame), every=3).head()
+    r = V.audit(frame, V.near_duplicates(frame), every=3, block=40).head()
     assert 0.99 <= r.recall <= 1 and r.queries > 50
 
 
