@@ -41,20 +41,21 @@ def detect(points: DataFrame, detector) -> DataFrame:
 
 
 def run_over_files(points: DataFrame, detector, files: int = 4) -> DataFrame:
-    """The whole way through Structured Streaming: points written as files in order of their ids, each a micro-batch, the streams
-    closed by a last file, and what the detector appends written to a sink of files and read from it."""
+    """The whole way through Structured Streaming: points written in so many stretches of their ids, each one micro-batch of as many files as
+    its tasks write, the streams closed by a last one, and what the detector appends written to a sink of files and read from it. The query
+    stops after each stretch and goes on from its checkpoint with the next."""
     spark = points.sparkSession
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     inner = points.select(F.col("stream_id").cast("string").alias("stream_id"), "id", "values")
-    last = inner.groupBy("stream_id").agg(F.max("id").alias("last")).persist()
+    last = inner.groupBy("stream_id").agg(F.max("id").alias("last"))
     part = F.least(F.floor((F.col("id") - 1) * files / F.col("last")), F.lit(files - 1))
-    cut = inner.join(last, "stream_id").select("stream_id", "id", "values", part.cast("int").alias("part"))
-    for k in range(files):
-        cut.filter(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{at}/in/{k:05d}")
+    inner.join(last, "stream_id").select("stream_id", "id", "values", part.cast("int").alias("part")).write.partitionBy("part").parquet(f"{at}/all")
+    cut = spark.read.schema("stream_id string, id long, values array<double>, part int").parquet(f"{at}/all")
     close = last.select("stream_id", (F.col("last") + 1).alias("id"), F.lit(None).cast("array<double>").alias("values"))
-    close.coalesce(1).write.parquet(f"{at}/in/{files:05d}")
-    stream = spark.readStream.schema(inner.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/in")
-    q = detect(stream, detector).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last.unpersist()
+    for k in range(files + 1):
+        some = cut.filter(F.col("part") == k).drop("part") if k < files else close
+        some.write.parquet(f"{at}/in/{k:05d}")
+        stream = spark.readStream.schema(inner.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        q = detect(stream, detector).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(FIELDS).parquet(f"{at}/out")
