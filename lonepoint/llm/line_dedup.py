@@ -38,7 +38,7 @@ DISTANCE, SIMILARITY = 6, 0.8
 BUCKET, BLOCK_ROWS, BLOCK_BYTES = 1024, 1024, 4 << 20
 #: Hashes that a group of the first pass has, about; one of how many lines shows which are larger; rows of that list that may be broadcast; hashes
 #: of a bucket from which it is compared as a matrix.
-GROUP_ROWS, SAMPLE, MOST_BROADCAST, MATRIX = 1 << 18, 16, 100_000, 48
+GROUP_ROWS, SAMPLE, MOST_BROADCAST, MATRIX = 1 << 18, 16, 100_000, 96
 NO_ID = (1 << 63) - 1
 
 _DELETE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -108,11 +108,13 @@ class Tables:
         return out
 
     def near(self, table: int, sims: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Which of these hashes are in a pair within the distance that belongs to the table. group: numbers in ascending order; pairs are sought
+        """Which of these hashes are in a pair within the distance that belongs to the table. group: numbers, equal ones side by side; pairs are sought
         within runs of equal ones, in which all hashes agree in the table's blocks (or they belong to no pair of it)."""
         found = np.zeros(len(sims), bool)
-        order = np.lexsort((sims, group))
-        s, g = sims[order], group[order]
+        run = np.concatenate([np.zeros(1, np.int64), np.cumsum(group[1:] != group[:-1])])[: len(sims)].astype(np.uint64)
+        # Repeats of a hash in a group come together, and the first of them stands for all.
+        order = np.argsort(mix(sims ^ mix(run + np.uint64(1))))
+        s, g = sims[order], run[order]
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (g[1:] != g[:-1])
         if self.chosen[table] == tuple(range(self.r - 1)):  # equal hashes agree in all blocks
@@ -123,29 +125,38 @@ class Tables:
         s, g = s[place], g[place]
         hit = np.zeros(len(s), bool)
         for i in range(self.chosen[table][-1] + 1, len(self.blocks)):
-            self._within(table, s, g, np.uint64(self.blocks[i]), hit)
+            self._within(table, s, g, self.blocks[i], hit)
         # Repeats of a hash share what was found of the first.
         found[order] |= hit[np.cumsum(new) - 1]
         return found
 
-    def _within(self, table: int, s: np.ndarray, g: np.ndarray, block: np.uint64, hit: np.ndarray) -> None:
+    def _within(self, table: int, s: np.ndarray, g: np.ndarray, block: int, hit: np.ndarray) -> None:
         """Mark the hashes of pairs of one group that agree in one more block."""
-        order = np.lexsort((s & block, g))
-        x, h = s[order], g[order]
-        k = x & block
-        edges = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1]), [True]]))
+        low, wide = np.uint64((block & -block).bit_length() - 1), np.uint64(block.bit_count())
+        bucket = g << wide | (s & np.uint64(block)) >> low
+        # Bucket and place in one number, which sorts faster than places by bucket.
+        bits = np.uint64(max(1, len(s)).bit_length())
+        if int(bucket.max(initial=0)).bit_length() + int(bits) <= 64:
+            packed = np.sort(bucket << bits | np.arange(len(s), dtype=np.uint64))
+            order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            k = packed >> bits
+        else:
+            order = np.argsort(bucket, kind="stable")
+            k = bucket[order]
+        x = s[order]
+        edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
         sizes = np.diff(edges)
         mine = np.zeros(len(x), bool)
         # Small buckets all at once: each hash with the next one of its bucket, the one after it, and so on.
         left = np.repeat(np.where(sizes < MATRIX, edges[1:], edges[:-1]), sizes) - np.arange(len(x))  # places up to the bucket's end
         at = np.flatnonzero(left > 1)
         for step in range(1, MATRIX):
-            at = at[left[at] > step]
+            at = at[left[at] > step] if step > 1 else at
             if not len(at):
                 break
             differ = x[at] ^ x[at + step]
-            close = np.bitwise_count(differ) <= self.distance
-            if close.any():
+            close = np.flatnonzero(np.bitwise_count(differ) <= self.distance)
+            if len(close):
                 pair = at[close][self.owns(table, differ[close])]
                 mine[pair] = mine[pair + step] = True
         for a, b in zip(edges[:-1][sizes >= MATRIX].tolist(), edges[1:][sizes >= MATRIX].tolist(), strict=True):
