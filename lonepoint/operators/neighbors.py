@@ -9,7 +9,6 @@ grows with the stream.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,20 +19,17 @@ from lonepoint.params import Params
 #: From two columns (or their names) and the dimensions to the distance.
 Distance = Callable[[str, str, int], Column]
 
-#: Dimensions that make cells; more would multiply the probes by three each.
+#: Dimensions that make cells; more would multiply the probes by two each.
 CELL_DIMS = 2
-#: Cells are wider than the radius by this share, so that rounding can't put neighbours two cells apart.
-MARGIN = 1e-9
+#: Cells are this many radii wide, so that what lies within the radius is in one or two cells of a dimension; and a little more than the radius is
+#: probed, so that rounding can't put a neighbour beyond them.
+WIDTH, MARGIN = 2, 1e-9
 
 
 def with_slide(points: DataFrame, slide: int) -> DataFrame:
     return points.withColumn("slide_no", slide_number("id", slide))
 
 
-def _cells(values: Column, radius: float, dims: int, used: int) -> list[Column]:
-    return [F.floor(values[i] / (radius * (1 + MARGIN))).cast("long") for i in range(min(dims, used))]
-
-
 def earlier_pairs(points: DataFrame, p: Params, dims: int, radius: float | None = None, keep: tuple[str, ...] = ("id",), cell_dims: int | None = None, distance: Distance = euclidean) -> DataFrame:
     """Each point (x_...) with those of its own slide and up to n - 1 slides before (q_...) within the radius, itself included.
 
@@ -44,15 +40,16 @@ def earlier_pairs(points: DataFrame, p: Params, dims: int, radius: float | None
     used = CELL_DIMS if cell_dims is None else cell_dims
     used = used if dims <= 8 else 0  # one thin slice of many dimensions prunes little
     bucket = F.floor((F.col("slide_no") - 1) / p.n).cast("long")
-    cells = _cells(F.col("values"), r, dims, used)
+    cell = lambda v: F.floor(v / (WIDTH * r)).cast("long")
+    axes = [F.col("values")[i] for i in range(min(dims, used))]
     cols = [*dict.fromkeys((*keep, "slide_no", "values"))]
-    probes = [F.struct((bucket - back).alias("t"), *((c + o).alias(f"c{i}") for i, (c, o) in enumerate(zip(cells, offsets, strict=True)))) for back in (0, 1) for offsets in product((-1, 0, 1), repeat=len(cells))]
-    if p.n == 1:
-        probes = probes[: len(probes) // 2]
-    x = points.select(*(F.col(c).alias(f"x_{c}") for c in cols), F.explode(F.array(*probes)).alias("k")).select("k.*", *(f"x_{c}" for c in cols))
-    q = points.select(*(F.col(c).alias(f"q_{c}") for c in cols), bucket.alias("t"), *(c.alias(f"c{i}") for i, c in enumerate(cells)))
+    # A row for each bucket and each cell that the ball reaches into.
+    x = points.select(*(F.col(c).alias(f"x_{c}") for c in cols), *(F.sequence(cell(v - r * (1 + MARGIN)), cell(v + r * (1 + MARGIN))).alias(f"c{i}") for i, v in enumerate(axes)), F.explode(F.array(bucket, bucket - 1) if p.n > 1 else F.array(bucket)).alias("t"))
+    for i in range(len(axes)):
+        x = x.withColumn(f"c{i}", F.explode(f"c{i}"))
+    q = points.select(*(F.col(c).alias(f"q_{c}") for c in cols), bucket.alias("t"), *(cell(v).alias(f"c{i}") for i, v in enumerate(axes)))
     gap = F.col("x_slide_no") - F.col("q_slide_no")
-    joined = x.join(q, ["t", *(f"c{i}" for i in range(len(cells)))])
+    joined = x.join(q, ["t", *(f"c{i}" for i in range(len(axes)))])
     return joined.filter((gap >= 0) & (gap < p.n)).withColumn("d", distance("x_values", "q_values", dims)).filter(F.col("d") <= r)
 
 
