@@ -229,26 +229,34 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return edit_distance(a, b) <= allowed
 
 
-_LINES = "id long, th long, pos int, h1 long, h2 long, sim long, len int"
+_LINES = "id long, th long, pos int, more array<int>, h1 long, h2 long, sim long, len int"
 
 
 def _line_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line with a normal form: its place, 128 bits of the form's hash, its SimHash and length."""
+    """A row for each different normal form of a document's lines: its first place and the others, 128 bits of the form's hash, its SimHash and length."""
     for batch in batches:
         ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for at, part in blocks([x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]):
-            i_, t_, p_, lines = [], [], [], []
+            i_, t_, p_, m_, lines = [], [], [], [], []
             for k, text in enumerate(part, at):
+                forms: dict[bytes, int] = {}
                 for pos, line in enumerate(normal_lines(text)):
                     if line:
-                        i_.append(ids[k])
-                        t_.append(ths[k])
-                        p_.append(pos)
-                        lines.append(line)
+                        row = forms.setdefault(line, len(lines))
+                        if row == len(lines):
+                            i_.append(ids[k])
+                            t_.append(ths[k])
+                            p_.append(pos)
+                            m_.append(None)
+                            lines.append(line)
+                        elif m_[row] is None:
+                            m_[row] = [pos]
+                        else:
+                            m_[row].append(pos)
             digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines), np.int64).reshape(-1, 2)
             yield pa.record_batch(
-                [pa.array(i_, pa.int64()), pa.array(t_, pa.int64()), pa.array(p_, pa.int32()), pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array(simhash(lines).view(np.int64)), pa.array([len(x) for x in lines], pa.int32())],
-                names=["id", "th", "pos", "h1", "h2", "sim", "len"],
+                [pa.array(i_, pa.int64()), pa.array(t_, pa.int64()), pa.array(p_, pa.int32()), pa.array(m_, pa.list_(pa.int32())), pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array(simhash(lines).view(np.int64)), pa.array([len(x) for x in lines], pa.int32())],
+                names=["id", "th", "pos", "more", "h1", "h2", "sim", "len"],
             )
 
 
@@ -349,18 +357,6 @@ def _links(tables: Tables, least: float):
     return run
 
 
-def _rebuilt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, counts, gone = [], [], []
-        for raw, drops in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            lines = raw.split(b"\n") if raw is not None else []
-            counts.append(len(lines))
-            out = set(drops or ())
-            gone.append(len(out))
-            texts.append(raw if not out else b"\n".join(x for i, x in enumerate(lines) if i not in out))
-        yield pa.record_batch([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), *batch.columns[2:]], names=["_lp_text", "_lp_lines", "_lp_removed", *batch.schema.names[2:]])
-
-
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, least: float = SIMILARITY) -> DataFrame:
     """id (the largest long for null), th and drops, the places of the lines that go, for the documents that lose lines."""
     spark = docs.sparkSession
@@ -369,8 +365,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), common.row_hash(text).alias("th"), text.alias("text"))
     lines = common.stored(narrow.mapInArrow(_line_rows, _LINES), "lines")
     place = F.struct("id", "th", "pos")
-    unique = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("len").alias("len"))
-    unique = common.stored(unique, "unique")
+    # The smallest place by numbers alone, which aggregates by hashing: the order of id and then text is one decimal; equal ones have the same place.
+    order = F.col("id").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.pmod("th", F.lit(10**18)).cast("decimal(19,0)")
+    ordered = lines.withColumn("o", order.cast("decimal(38,0)"))
+    unique = ordered.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("th", "o").alias("th"), F.min_by("pos", "o").alias("pos"), F.count("*").alias("n"), F.min("sim").alias("sim"), F.min("len").alias("len"), F.max(F.col("more").isNotNull()).alias("again"))
+    unique = common.stored(unique.select("h1", "h2", place.alias("first"), "n", "sim", "len", "again"), "unique")
 
     # First pass: hashes only. A key is the hash of a table's bits; its low byte is the table.
     tables = Tables(unique.count(), distance)
@@ -410,11 +409,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grouped = unique.select("h1", "h2", "first").join(parts, ["h1", "h2"])
     least_place = common.stored(grouped.groupBy("root").agg(F.min("first").alias("stays")), "stays", narrow=True)
     fuzzy = grouped.join(least_place, "root").select("h1", "h2", F.col("stays").alias("near_stays"))
-    settled = unique.join(fuzzy, ["h1", "h2"], "left").filter((F.col("n") > 1) | F.col("near_stays").isNotNull()).select("h1", "h2", F.coalesce("near_stays", "first").alias("stays"))
+    settled = unique.join(fuzzy, ["h1", "h2"], "left").filter((F.col("n") > 1) | F.col("again") | F.col("near_stays").isNotNull()).select("h1", "h2", F.coalesce("near_stays", "first").alias("stays"))
     # Written, so that the join shuffles both its sides for itself and can split a line that very many documents have.
     settled = common.stored(settled, "settled", narrow=True)
-    gone = lines.join(settled, ["h1", "h2"]).filter(place != F.col("stays"))
-    return common.stored(gone.groupBy("id", "th").agg(F.collect_set("pos").alias("drops")), "drops", narrow=True)
+    # Of a document that has the occurrence that stays, only the others go.
+    more = F.coalesce("more", F.array().cast("array<int>"))
+    gone = lines.join(settled, ["h1", "h2"]).select("id", "th", F.when(place == F.col("stays"), more).otherwise(F.concat(F.array("pos"), more)).alias("gone"))
+    return common.stored(gone.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("drops")).filter(F.size("drops") > 0), "drops", narrow=True)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, **options) -> DataFrame:
@@ -422,12 +423,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = dropped_lines(docs, id_col, text_col, **options).select(F.col("id").alias("_lp_id"), F.col("th").alias("_lp_th"), F.col("drops").alias("_lp_drops"))
     keyed = docs.withColumns({"_lp_i": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_lp_h": common.row_hash(common.text_of(docs, text_col))})
     joined = keyed.join(drops, (F.col("_lp_i") == F.col("_lp_id")) & (F.col("_lp_h") == F.col("_lp_th")), "left")
-    others = [c for c in docs.columns if c != text_col]
-    inner = joined.select(F.col(text_col).cast("string").alias("_lp_text"), "_lp_drops", *(F.col(c).alias(f"k{i}") for i, c in enumerate(others)))
-    kinds = dict(inner.dtypes)
-    made = inner.mapInArrow(_rebuilt, "_lp_text string, _lp_lines long, _lp_removed long" + "".join(f", k{i} {kinds[f'k{i}']}" for i in range(len(others))))
-    name = {c: f"k{i}" for i, c in enumerate(others)} | {text_col: "_lp_text"}
-    return made.select(*(F.col(name[c]).alias(c) for c in docs.columns), *["_lp_lines", "_lp_removed"] * counts)
+    text, drops = F.col(text_col).cast("string"), F.col("_lp_drops")
+    # The lines are bound to a name, so that they are cut once.
+    kept = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), drops), lambda i: F.get(ls, i)), "\n")
+    whole = F.when(drops.isNull(), text).otherwise(F.transform(F.array(F.split(text, "\n", -1)), kept)[0])
+    lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    told = [lines.alias("_lp_lines"), F.when(drops.isNull(), 0).otherwise(F.size(drops)).cast("long").alias("_lp_removed")] if counts else []
+    return joined.select(*(whole.alias(c) if c == text_col else F.col(c) for c in docs.columns), *told)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
